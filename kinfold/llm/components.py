@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import keys as K
 from kinfold.operators.skew import lookup_join
-from kinfold.session import cut
+from kinfold.session import cut, cut_counted
 
 
 def star_edges(rows: DataFrame, row_id: str, key_columns: list[str]) -> DataFrame:
@@ -31,12 +31,14 @@ def star_edges(rows: DataFrame, row_id: str, key_columns: list[str]) -> DataFram
 
 
 def _collapse(parents: DataFrame) -> DataFrame:
-    """(id, parent) with every parent a root, by pointer doubling. parents: a forest whose roots point at themselves."""
+    """(id, parent) with every parent a root, by pointer doubling. parents: a forest whose roots point at themselves. Many ids may
+    share a parent; those partitions are split by the adaptive skew join, as the parent's side has one row an id."""
     while True:
         up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        doubled = cut(lookup_join(parents, up, "parent").select("id", F.coalesce("grand", "parent").alias("root"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")))
+        step = parents.join(up, "parent", "left").select("id", F.coalesce("grand", "parent").alias("root"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved"))
+        doubled, seen = cut_counted(step, moved=F.max("moved"))
         parents = doubled.select("id", F.col("root").alias("parent"))
-        if not doubled.filter("moved").limit(1).count():
+        if not seen["moved"]:
             return parents
 
 
@@ -46,25 +48,23 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links, repeats and nulls are ignored; an empty list gives an empty result.
     """
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    live = cut(edges)
+    live, seen = cut_counted(edges, n=F.count("*"))
     labels: DataFrame | None = None
-    while live.limit(1).count():
+    while seen["n"]:
         # the smallest edge of a component is the one whose ordered pair is smallest
         ends = live.select(F.col("u").alias("id"), F.struct("u", "v").alias("e")).unionByName(live.select(F.col("v").alias("id"), F.struct("u", "v").alias("e")))
-        picks = ends.groupBy("id").agg(F.min("e").alias("e")).select("id", F.when(F.col("id") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("to"))
-        picks = cut(picks)
+        picks = cut(ends.groupBy("id").agg(F.min("e").alias("e")).select("id", F.when(F.col("id") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("to")))
         back = picks.select(F.col("id").alias("to"), F.col("to").alias("back"))
-        hooked = lookup_join(picks, back, "to").select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("parent"))
-        roots = _collapse(cut(hooked))
+        hooked = picks.join(back, "to", "left").select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("parent"))
+        roots = _collapse(hooked)
         if labels is None:
             labels = roots.select("id", F.col("parent").alias("label"))
         else:
-            now = lookup_join(labels, roots.select(F.col("id").alias("label"), F.col("parent").alias("up")), "label")
+            now = labels.join(roots.select(F.col("id").alias("label"), F.col("parent").alias("up")), "label", "left")
             labels = cut(now.select("id", F.coalesce("up", "label").alias("label")))
-        a = lookup_join(live, roots.select(F.col("id").alias("u"), F.col("parent").alias("pu")), "u")
-        b = lookup_join(a, roots.select(F.col("id").alias("v"), F.col("parent").alias("pv")), "v")
-        moved = b.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).filter("u <> v")
-        live = cut(moved.distinct())
+        a = live.join(roots.select(F.col("id").alias("u"), F.col("parent").alias("pu")), "u", "left")
+        b = a.join(roots.select(F.col("id").alias("v"), F.col("parent").alias("pv")), "v", "left")
+        live, seen = cut_counted(b.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).filter("u <> v").distinct(), n=F.count("*"))
     if labels is None:
         return live.select(F.col("u").alias("id"), F.col("v").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("id").alias("least"))

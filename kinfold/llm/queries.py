@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import keys as K
-from kinfold.llm import components, survivors, tokenizer
+from kinfold.llm import components, packing, reading, survivors, tokenizer
 from kinfold.operators.skew import lookup_join
 from kinfold.session import cut, table
 
@@ -97,7 +97,31 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_survivors, p8_ids)}
+#: Tokens a container of problem 9 holds.
+CAPACITY = 2048
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, chunk, size, container_id): every document's tokens in containers of 2,048."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokenizer.size_column("text").alias("tokens"))
+    return packing.fill_containers(docs, "doc_id", "tokens", CAPACITY).withColumnRenamed("item_id", "doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, sentences, level) of every document."""
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
+
+
+#: From here on a level is nearer to grade 4 than to grade 3.
+DEMANDING = 3.5
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of three or more sentences of prose at grade 4 or 5."""
+    return p10_levels(spark, sf_dir).filter((F.col("sentences") >= 3) & (F.col("level") >= DEMANDING)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 def _sql_groups() -> str:
