@@ -13,8 +13,8 @@ LEAST_ROWS = 50_000
 
 def heavy_keys(counts: DataFrame, key: str, n: str, share: float = HEAVY_SHARE) -> list:
     """Keys with at least `share` of the rows of pre-aggregated `counts`; never more than 1 / share values reach the driver."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    if total < LEAST_ROWS:
+    total, most = counts.filter(F.col(key).isNotNull()).agg(F.sum(n), F.max(n)).first()
+    if (total or 0) < LEAST_ROWS or most < total * share:
         return []
     return [r[0] for r in counts.filter((F.col(n) >= F.lit(total * share)) & F.col(key).isNotNull()).select(key).limit(int(1 / share) + 1).collect()]
 

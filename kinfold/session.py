@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,21 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; a local folder only where none is set and the master is local."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set and the master is local."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    already = sc._jsc.sc().getCheckpointDir()
+    if already.isDefined():
+        return already.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "kinfold-checkpoints"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return named
+    if sc.master.startswith("local[") or sc.master == "local":
+        return os.path.join(tempfile.gettempdir(), "kinfold-checkpoints")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def cut_counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """Write a frame once as a table in the shared folder and read it back: lineage ends there, an executor can be lost afterwards.
+
+    The measures (aggregates over the written rows) come from the same job, so that knowing a count costs no second pass."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kinfold-{uuid.uuid4().hex}"
+    seen = Observation()
+    watched = df.observe(seen, *[m.alias(k) for k, m in measures.items()]) if measures else df
+    watched.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), dict(seen.get) if measures else {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut_counted(df)[0]
