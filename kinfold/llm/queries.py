@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import keys as K
-from kinfold.llm import components, packing, reading, survivors, tokenizer
+from kinfold.llm import components, packing, people, reading, survivors, tokenizer
 from kinfold.operators.skew import lookup_join
 from kinfold.session import cut, table
 
@@ -97,6 +97,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging rows and the contact their differently spelled name means."""
+    staging, contacts = table(spark, sf_dir, "staging"), table(spark, sf_dir, "contacts")
+    linked = people.link_variants(staging, contacts, table(spark, sf_dir, "contact_identities"))
+    named = linked.join(staging.select(F.col("id").alias("staging_id"), F.col("full_name").alias("sname")), "staging_id").join(contacts.select(F.col("id").alias("contact_id"), F.col("full_name").alias("cname")), "contact_id")
+    return named.filter("sname <> cname").select("staging_id", "contact_id")
+
+
 #: Tokens a container of problem 9 holds.
 CAPACITY = 2048
 
@@ -121,7 +129,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_levels(spark, sf_dir).filter((F.col("sentences") >= 3) & (F.col("level") >= DEMANDING)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 def _sql_groups() -> str:
