@@ -11,25 +11,30 @@ HEAVY_SHARE = 1 / 256
 LEAST_ROWS = 50_000
 
 
-def heavy_keys(counts: DataFrame, key: str, n: str, share: float = HEAVY_SHARE) -> list:
-    """Keys with at least `share` of the rows of pre-aggregated `counts`; never more than 1 / share values reach the driver."""
-    total, most = counts.filter(F.col(key).isNotNull()).agg(F.sum(n), F.max(n)).first()
+def heavy_keys(counts: DataFrame, keys: list[str], n: str, share: float = HEAVY_SHARE) -> list[str]:
+    """Key texts (see key_text) with at least `share` of the rows of pre-aggregated `counts`; never more than 1 / share reach the driver."""
+    total, most = counts.dropna(subset=keys).agg(F.sum(n), F.max(n)).first()
     if (total or 0) < LEAST_ROWS or most < total * share:
         return []
-    return [r[0] for r in counts.filter((F.col(n) >= F.lit(total * share)) & F.col(key).isNotNull()).select(key).limit(int(1 / share) + 1).collect()]
+    return [r[0] for r in counts.dropna(subset=keys).filter(F.col(n) >= F.lit(total * share)).select(key_text(keys)).limit(int(1 / share) + 1).collect()]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, share: float = HEAVY_SHARE) -> DataFrame:
-    """Left join to a `right` that is unique in `key`.
+def key_text(keys: list[str]) -> Column:
+    return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
 
-    Heavy keys of the left side (found from per-key counts, which combine map-side) meet a broadcast of at most 1 / share right rows;
-    the other keys go through a shuffle join. Rows with a null key are kept with nulls. Both branches are unioned, no row is dropped.
+
+def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], counts: DataFrame | None = None, share: float = HEAVY_SHARE) -> DataFrame:
+    """Left join to a `right` that is unique in the key columns `on`.
+
+    Heavy keys of the left side (found from per-key counts (on.., _n), which combine map-side) meet a broadcast of at most 1 / share
+    right rows; the other keys go through a shuffle join. Rows with a null key are kept with nulls. No row is dropped.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts
-    heavy = heavy_keys(counts, key, "_n", share)
+    keys = [on] if isinstance(on, str) else on
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")) if counts is None else counts
+    heavy = heavy_keys(counts, keys, "_n", share)
     if not heavy:
-        return left.join(right, key, "left")
-    hot: Column = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    there = left.filter(hot).join(F.broadcast(right.filter(F.col(key).isin(heavy))), key, "left")
-    rest = left.filter(~hot).join(right.filter(~hot), key, "left")
+        return left.join(right, keys, "left")
+    hot = key_text(keys).isin(heavy)
+    there = left.filter(hot).join(F.broadcast(right.filter(hot)), keys, "left")
+    rest = left.filter(~hot).join(right.filter(~hot), keys, "left")
     return there.unionByName(rest)
