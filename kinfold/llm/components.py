@@ -7,8 +7,6 @@ number of rounds is logarithmic. Nothing but row counts reaches the driver; line
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +18,13 @@ from kinfold.session import cut, cut_counted
 def star_edges(rows: DataFrame, row_id: str, key_columns: list[str]) -> DataFrame:
     """(u, v): every row linked to the smallest row id of each of its keys. Null keys link nothing.
 
-    Rows with the same keys are first folded onto their smallest id, and a key's smallest id and size combine map-side, so a key of
-    any size costs one row per partition; keys that hold a large share of the rows are joined by a bounded broadcast.
+    A key's smallest id and size combine map-side, so a key of any size costs one row per partition; keys that hold a large share of
+    the rows are joined by a bounded broadcast.
     """
-    cards = rows.groupBy(*key_columns).agg(F.min(row_id).alias("rep"))
-    long = cards.select("rep", F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.concat(F.lit(c + ":"), F.col(c)).alias("key"))) for c in key_columns])).alias("s")).filter("s is not null").select("rep", F.col("s.key").alias("key"))
-    hubs = long.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("_n")).filter("_n > 1")
+    long = rows.select(F.col(row_id).alias("u"), F.explode(F.array(*[F.concat(F.lit(c[0] + ":"), F.col(c)) for c in key_columns])).alias("key")).filter("key is not null")
+    hubs = long.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("_n")).filter("_n > 1")
     linked = lookup_join(long, hubs.drop("_n"), "key", hubs.select("key", "_n"))
-    return linked.filter("hub is not null and hub <> rep").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+    return linked.filter("v is not null and v <> u").select("u", "v")
 
 
 def _collapse(parents: DataFrame) -> DataFrame:
@@ -74,17 +71,11 @@ def components(edges: DataFrame) -> DataFrame:
 def key_groups(rows: DataFrame, row_id: str, key_columns: list[str]) -> DataFrame:
     """(row_id, group_id) of the rows that share a key with another row, directly or through others; group_id is the smallest row id.
 
-    Rows without any key and rows alone in their group do not come out. Rows with the same keys count as one vertex until the end,
-    where they join their vertex again; a repeated id is one row.
+    Rows without any key and rows alone in their group do not come out; a repeated id is one row. The first letters of the key
+    columns must differ, as they mark the kind of a key.
     """
-    rows = rows.select(row_id, *key_columns).dropDuplicates([row_id]).filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in key_columns]))
-    rows = cut(rows)
-    labels = components(star_edges(rows, row_id, key_columns)).withColumnRenamed("id", "rep")
-    signature = F.to_json(F.struct(*key_columns))
-    signed = rows.select(row_id, signature.alias("sig"))
-    reps = signed.groupBy("sig").agg(F.min(row_id).alias("rep"), F.count("*").alias("n"))
-    whole = reps.join(labels, "rep", "left").filter("label is not null or n > 1").select("sig", F.coalesce("label", "rep").alias("group_id"))
-    return lookup_join(signed, whole, "sig", reps.select("sig", F.col("n").alias("_n"))).filter("group_id is not null").select(F.col(row_id).alias("row_id"), "group_id")
+    labels = components(star_edges(rows, row_id, key_columns))
+    return labels.select(F.col("id").alias("row_id"), F.col("label").alias("group_id"))
 
 
 def card_keys(staging: DataFrame) -> DataFrame:

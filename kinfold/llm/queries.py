@@ -26,70 +26,68 @@ def _staging_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     staging, feeds = table(spark, sf_dir, "staging"), table(spark, sf_dir, "feed_sources")
     ranks = feeds.groupBy("source").agg(F.min("trust_rank").alias("rank"))
     groups = components.card_groups(staging)
-    rows = groups.join(staging.select(F.col("id").alias("row_id"), "source", "imported_at", *FIELDS), "row_id").join(F.broadcast(ranks), "source", "left")
-    long = rows.select("row_id", F.col("group_id").alias("group_key"), F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "imported_at", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in FIELDS])).alias("x"))
-    long = long.select("row_id", "group_key", "rank", "imported_at", "x.field_name", F.expr(K.trimmed("x.raw")).alias("value"), F.col("x.raw").alias("raw")).filter(f"not {K.is_blank('raw')}")
-    per_rank = long.groupBy("group_key", "field_name", "value", "rank").agg(F.count("*").alias("n"), F.max(F.struct("imported_at", "row_id")).alias("last"))
-    return per_rank.groupBy("group_key", "field_name", "value").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.min(F.struct("rank", F.expr("-unix_micros(last.imported_at)").alias("back"), F.col("last.row_id").alias("tie"))).alias("trusted"))
-
-
-def _weighted(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Values with weights, and (group_key, field_name, n_values, newest, trusted). A value weighs its rows; the newest value and the
-    newest of the most trusted source each outweigh all rows of the group together."""
-    summary = values.groupBy("group_key", "field_name").agg(
-        F.sum("n").alias("rows"), F.count("*").alias("n_values"), F.max_by("value", "last").alias("newest"), F.min_by("value", "trusted").alias("best")
-    )
-    summary = cut(summary.withColumn("k", F.to_json(F.struct("group_key", "field_name"))))
-    keyed = lookup_join(values.withColumn("k", F.to_json(F.struct("group_key", "field_name"))), summary.select("k", "rows", "newest", "best"), "k", summary.select("k", F.col("n_values").alias("_n")))
-    heavy = (F.col("value") == F.col("newest")).cast("int") * 2 + (F.col("value") == F.col("best")).cast("int")
-    return keyed.select("group_key", "field_name", "value", (F.col("n") + heavy * (F.col("rows") + 1)).cast("double").alias("weight")), summary
+    ranked = staging.select(F.col("id").alias("row_id"), "source", "imported_at", *[F.expr(f"case when not {K.is_blank(f)} then {K.trimmed(f)} end").alias(f) for f in FIELDS]).join(F.broadcast(ranks), "source", "left").drop("source")
+    rows = groups.join(ranked, "row_id")
+    long = rows.select("row_id", F.col("group_id").alias("group_key"), F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "imported_at", F.explode(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])).alias("field_name", "value")).filter("value is not null")
+    return long.groupBy("group_key", "field_name", "value").agg(F.count("*").alias("n"), F.max(F.struct("imported_at", "row_id")).alias("last"), F.max_by(F.struct("rank", "imported_at", "row_id"), F.struct(-F.col("rank"), F.col("imported_at"), F.col("row_id"))).alias("t")).select("group_key", "field_name", "value", "n", "last", F.struct("t.rank", (-F.unix_micros("t.imported_at")).alias("back"), F.expr("translate(t.row_id, '0123456789abcdef', 'fedcba9876543210')").alias("tie")).alias("trusted"))
+
 
+GF = ["group_key", "field_name"]
 
-def _staging_survivors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    weighted, summary = _weighted(cut(_staging_values(spark, sf_dir)))
-    return survivors.consensus(weighted), summary
 
+def _weighted(values: DataFrame, summary: DataFrame) -> DataFrame:
+    """Values with weights: a value weighs its rows; the newest value, and in staging the newest of the most trusted source, each
+    outweigh all rows of the group together. summary: (group_key, field_name, rows, n_values, newest, best)."""
+    keyed = lookup_join(values.select(*GF, "value", "n"), summary.select(*GF, "rows", "newest", "best"), GF, summary.select(*GF, F.col("n_values").alias("_n")))
+    heavy = (F.col("value") == F.col("newest")).cast("int") * 2 + (F.col("value") == F.col("best")).cast("int")
+    return keyed.select(*GF, "value", (F.col("n") + heavy * (F.col("rows") + 1)).cast("double").alias("weight"))
 
-def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "enrichment_log").filter("contact_id is not null and field is not null and field <> '_merge'").withColumn("usable", F.expr(f"not {K.is_blank('new_value')} and redacted_at is null and not (verification_status <=> 'disputed')"))
+
+def _staging_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group_key, field_name, survivor, distance, n_values, newest, best)."""
+    values = cut(_staging_values(spark, sf_dir))
+    summary = cut(values.groupBy(*GF).agg(F.sum("n").alias("rows"), F.count("*").alias("n_values"), F.max_by("value", "last").alias("newest"), F.min_by("value", "trusted").alias("best")))
+    return survivors.consensus(_weighted(values, summary)).join(summary.drop("rows"), GF)
 
 
 def _log_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_key, field_name, survivor value, latest row, whether it leads in confidence, current rows)."""
-    log = _log_rows(spark, sf_dir).select("id", F.col("contact_id").alias("group_key"), F.col("field").alias("field_name"), F.expr(K.trimmed("new_value")).alias("value"), "created_at", F.coalesce("confidence", F.lit(0.4)).alias("conf"), "usable", F.coalesce("is_current", F.lit(False)).alias("cur"))
-    order = F.struct("created_at", "conf", "id")
+    """(group_key, field_name, survivor, newest, and of the latest usable row: latest_id, whether it leads alone in confidence, whether
+    the flag is on it alone). Rows combine map-side per pair and value, so a hot pair costs one row per partition and value."""
+    log = table(spark, sf_dir, "enrichment_log").filter("contact_id is not null and field is not null and field <> '_merge'")
+    log = log.select(
+        "id", F.col("contact_id").alias("group_key"), F.col("field").alias("field_name"), F.expr(K.trimmed("new_value")).alias("value"), "created_at", F.coalesce("confidence", F.lit(0.4)).alias("conf"),
+        F.expr(f"not {K.is_blank('new_value')} and redacted_at is null and not (verification_status <=> 'disputed')").alias("usable"), F.coalesce("is_current", F.lit(False)).alias("cur"), F.xxhash64("id").alias("h"),
+    )
+    # the highest confidence is one row's alone where the largest and the smallest hash of its rows are the same
     per_value = cut(
-        log.groupBy("group_key", "field_name", "value", "usable").agg(
-            F.count("*").alias("n"), F.max(order).alias("last"), F.max("conf").alias("conf"), F.sum(F.col("cur").cast("int")).alias("current"), F.max(F.when(F.col("cur"), F.col("id"))).alias("current_id"),
-            F.max(F.struct("conf", "id")).alias("top"), F.sum(F.lit(1)).alias("rows"),
+        log.groupBy(*GF, F.when(F.col("usable"), F.col("value")).alias("value"), "usable").agg(
+            F.count("*").alias("n"), F.max(F.struct("created_at", "conf", "id")).alias("last"), F.max(F.struct("conf", "h")).alias("top"), F.max(F.struct("conf", (-F.col("h")).alias("h"))).alias("top_low"),
+            F.sum(F.col("cur").cast("int")).alias("current"), F.max(F.when(F.col("cur"), F.col("id"))).alias("current_id"),
         )
     )
-    # how many usable rows reach the highest confidence: needs the second best, kept per pair as an array of two
-    pair = per_value.groupBy("group_key", "field_name").agg(
-        F.max(F.when(F.col("usable"), F.col("last"))).alias("latest"), F.sum("current").alias("current"), F.max("current_id").alias("current_id"),
-        F.sum(F.when(F.col("usable"), F.col("n"))).alias("rows"), F.max_by("value", F.when(F.col("usable"), F.col("last"))).alias("newest"), F.sum(F.when(F.col("usable"), 1)).alias("n_values"),
+    used = F.col("usable")
+    pair = cut(
+        per_value.groupBy(*GF).agg(
+            F.max(F.when(used, F.col("last"))).alias("latest"), F.max(F.when(used, F.col("top"))).alias("top"), F.max(F.when(used, F.col("top_low"))).alias("top_low"), F.sum("current").alias("current"), F.max("current_id").alias("current_id"),
+            F.sum(F.when(used, F.col("n"))).alias("rows"), F.count(F.when(used, 1)).alias("n_values"), F.max_by("value", F.when(used, F.col("last"))).alias("newest"),
+        ).filter("latest is not null")
+        .select(*GF, "rows", "n_values", "newest", F.col("newest").alias("best"), F.col("latest.id").alias("latest_id"),
+                F.expr("top.conf = latest.conf and top.h = xxhash64(latest.id) and top.h = -top_low.h").alias("leads"), F.expr("current = 1 and current_id = latest.id").alias("flagged"))
     )
-    pair = cut(pair.filter("latest is not null").withColumn("k", F.to_json(F.struct("group_key", "field_name"))))
-    keyed_log = log.filter("usable").withColumn("k", F.to_json(F.struct("group_key", "field_name")))
-    rival = lookup_join(keyed_log.select("k", "id", "conf"), pair.select("k", F.col("latest.id").alias("latest_id")), "k", pair.select("k", F.col("rows").alias("_n"))).filter("id <> latest_id").groupBy("k").agg(F.max("conf").alias("rival"))
-    usable = per_value.filter("usable").withColumn("k", F.to_json(F.struct("group_key", "field_name")))
-    weighted = lookup_join(usable, pair.select("k", "newest", F.col("rows").alias("all_rows")), "k").select("group_key", "field_name", "value", (F.col("n") + F.when(F.col("value") == F.col("newest"), F.col("all_rows") + 1).otherwise(0)).cast("double").alias("weight"))
-    kept = survivors.consensus(weighted).withColumn("k", F.to_json(F.struct("group_key", "field_name"))).select("k", "survivor")
-    return pair.join(rival, "k", "left").join(kept, "k")
+    kept = survivors.consensus(_weighted(per_value.filter("usable"), pair))
+    return kept.join(pair.select(*GF, "newest", "latest_id", "leads", "flagged"), GF)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of the groups whose newest and most trusted values agree, and of the log pairs whose flag is not on their one good row."""
-    kept, summary = _staging_survivors(spark, sf_dir)
-    agreed = kept.withColumn("k", F.to_json(F.struct("group_key", "field_name"))).join(summary.filter("n_values > 1 and newest = best").select("k", "newest"), "k").filter("survivor = newest")
-    staged = agreed.select(F.lit("staging").alias("scope"), "group_key", "field_name", "survivor")
-    log = _log_survivors(spark, sf_dir).filter("survivor = newest and (rival is null or latest.conf > rival) and not (current = 1 and current_id = latest.id)")
-    return staged.unionByName(log.select(F.lit("log").alias("scope"), "group_key", "field_name", F.col("latest.id").alias("survivor")))
+    staged = _staging_survivors(spark, sf_dir).filter("n_values > 1 and newest = best and survivor = newest")
+    log = _log_survivors(spark, sf_dir).filter("survivor = newest and leads and not flagged")
+    return staged.select(F.lit("staging").alias("scope"), *GF, "survivor").unionByName(log.select(F.lit("log").alias("scope"), *GF, F.col("latest_id").alias("survivor")))
 
 
 def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving value of every group and field of staging."""
-    return _staging_survivors(spark, sf_dir)[0].select("group_key", "field_name", "survivor", "distance")
+    return _staging_survivors(spark, sf_dir).select("group_key", "field_name", "survivor", "distance")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
