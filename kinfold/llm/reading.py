@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import cut
+
 #: A familiar word occurs in this share of a language's documents; at most (mean distinct words of a document) / share words can.
 SHARE = 0.1
 #: The corpus words one worker counts before it passes its counts on.
@@ -59,31 +61,38 @@ class Languages:
             counts[lang].update({w.lower() for w in _WORD.findall(text)})
         words = {w for c in counts.values() for w in c}
         self.names = sorted(counts)
-        self.scores = {w: np.array([log((counts[n][w] + 0.1) / (size[n] + 0.2)) for n in self.names]) for w in words}
+        self.scores = {w: [log((counts[n][w] + 0.1) / (size[n] + 0.2)) for n in self.names] for w in words}
 
     def of(self, words: Counter) -> str | None:
-        """None for a text without words or without a word of any sample."""
-        found = [(self.scores[w], n) for w, n in words.items() if w in self.scores]
-        if not found:
-            return self.names[0] if words and len(self.names) == 1 else None
-        return self.names[int(np.argmax(sum(s * n for s, n in found)))]
+        """None for a text without a word of any sample."""
+        total = [0.0] * len(self.names)
+        seen = False
+        for w, n in words.items():
+            s = self.scores.get(w)
+            if s:
+                seen = True
+                for i, x in enumerate(s):
+                    total[i] += x * n
+        return self.names[max(range(len(total)), key=total.__getitem__)] if seen else None
 
 
 def features(text: str, familiar: set[str]) -> tuple[int, float, float, float]:
     """(sentences, unfamiliar letters a word, familiar letters a word, log of words a sentence). Capitalised words inside a sentence
     are names, known to a reader, unless the language writes nouns so; they count for the sentence length only."""
     found = sentences(text)
+    nouns = "\0nouns" in familiar
     words = counted = known = strange = 0
     for s in found:
-        for i, w in enumerate(_WORD.findall(s)):
+        first = True
+        for w in _WORD.findall(s):
             words += 1
-            low = w.lower()
-            if low in familiar:
+            if w.lower() in familiar:
                 counted += 1
                 known += len(w)
-            elif i == 0 or not w[0].isupper() or "\0nouns" in familiar:
+            elif first or nouns or not w[0].isupper():
                 counted += 1
                 strange += len(w)
+            first = False
     return len(found), strange / max(counted, 1), known / max(counted, 1), log(1 + words / max(len(found), 1))
 
 
@@ -130,6 +139,7 @@ def familiar_words(docs: DataFrame, text: str, languages: Languages, share: floa
     """Per language the words in at least `share` of its documents, counted over all documents. Workers count per batch, so what is
     shuffled is words, not occurrences; the result is bounded by the mean distinct words of a document divided by `share`."""
     counts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(_count(languages), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
     totals = F.broadcast(counts.filter("word = ''").select("lang", F.col("n").alias("docs")))
     found: dict[str, set[str]] = defaultdict(set)
     for lang, word in counts.filter("word <> ''").join(totals, "lang").filter(F.col("n") >= F.col("docs") * share).select("lang", "word").collect():
