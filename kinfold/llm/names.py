@@ -70,7 +70,7 @@ class Name:
         head, comma, tail = s.partition(",")
         parts = [[w for w in _WORDS.findall(x.replace(".", " "))] for x in (head, tail)]
         parts = [[w for w in x if w not in TITLES] for x in parts]
-        self.comma = bool(comma and parts[1] and parts[0])
+        self.comma = bool(comma and parts[1] and parts[0]) and not all(w in LEGAL_FORMS or w in ORGANISATION_WORDS for w in parts[1])
         words = parts[1] + parts[0] if self.comma else parts[0] + parts[1]
         flat = [w for x in words for w in (x,)]
         self.org = None
