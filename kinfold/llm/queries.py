@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import keys as K
-from kinfold.llm import components, packing, people, reading, survivors, tokenizer
+from kinfold.llm import components, packing, people, reading, retrieval, survivors, tokenizer
 from kinfold.operators.skew import lookup_join
 from kinfold.session import cut, table
 
@@ -103,6 +103,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.filter("sname <> cname").select("staging_id", "contact_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of staging rows of different sources that mean the same one without an identifier in common."""
+    return p6_matches(spark, sf_dir).select("id_a", "id_b")
+
+
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of p6_found with their confidence."""
+    return retrieval.match_sources(table(spark, sf_dir, "staging"))
+
+
 #: Tokens a container of problem 9 holds.
 CAPACITY = 2048
 
@@ -127,7 +137,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_levels(spark, sf_dir).filter((F.col("sentences") >= 3) & (F.col("level") >= DEMANDING)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p6_found, p6_matches, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 def _sql_groups() -> str:
