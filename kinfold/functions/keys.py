@@ -6,8 +6,8 @@ and the oracle. Null in gives null out; text of any length is handled by linear
 
 from __future__ import annotations
 
-# White space removed at both ends of a value, as character ranges.
-OUTER_SPACE = "\u0009-\u000d\u001c- \u0085   -     　"
+# White space removed at both ends of a value.
+OUTER_SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # Words that stand for "no value".
 PLACEHOLDERS = ("n/a", "na", "none", "null", "unknown", "tbd")
 # Local parts of shared mailboxes.
@@ -34,7 +34,9 @@ def like(expr: str, pattern: str, dialect: str = "spark") -> str:
 
 
 def trimmed(expr: str, dialect: str = "spark") -> str:
-    return sub(expr, f"^[{OUTER_SPACE}]+|[{OUTER_SPACE}]+$", "", dialect)
+    if dialect == "spark":
+        return f"trim(both '{OUTER_SPACE}' from {expr})"
+    return f"trim({expr}, '{OUTER_SPACE}')"
 
 
 def is_blank(expr: str, dialect: str = "spark") -> str:
