@@ -8,8 +8,7 @@ deletion variant are compared by the metric itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import sqrt
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,10 +18,11 @@ from pyspark.sql import functions as F
 from kinfold.llm.names import distance, radius
 from kinfold.session import cut_counted
 
-#: Pivots are picked farthest first from a sample of at most this many strings; they steer the partition only, never the result.
-PIVOT_SAMPLE = 2_000
 #: Strings of one cell that meet in one task: larger cells are split on both sides, which keeps every pair of the cell together once.
-CELL_INDEX, CELL_QUERIES = 20_000, 100_000
+CELL_INDEX, CELL_QUERIES = 16_000, 100_000
+#: Strings of a cell that the number of pivots aims at, and the most pivots. Pivots are strings of the index in hash order, so that
+#: dense regions get more of them and cells stay even; they steer the partition only, never the result.
+CELL_SIZE, MOST_PIVOTS = 8_000, 2_048
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -53,19 +53,6 @@ def pivot_distances(words: list[str], pivots: list[str]) -> np.ndarray:
     return out
 
 
-def pick_pivots(sample: list[str], count: int) -> list[str]:
-    """Farthest-first pivots of a sample, the smallest string first, ties to the smaller string."""
-    sample = sorted(set(sample))
-    if not sample:
-        return []
-    pivots = [sample[0]]
-    far = pivot_distances(sample, pivots)[:, 0]
-    while len(pivots) < count and far.max() > 0:
-        pivots.append(sample[int(far.argmax())])
-        far = np.minimum(far, pivot_distances(sample, pivots[-1:])[:, 0])
-    return pivots
-
-
 def variants(word: str, edits: int) -> set[str]:
     """The word and all words left after at most `edits` deletions."""
     out, last = {word}, {word}
@@ -75,6 +62,26 @@ def variants(word: str, edits: int) -> set[str]:
     return out
 
 
+class DeletionIndex:
+    """Exact look-up of strings within two edits: two such strings have a deletion variant in common, each with as many deletions
+    as there are edits at most."""
+
+    def __init__(self, words: Iterable[str]):
+        self.by: dict[str, list[str]] = {}
+        for w in words:
+            for v in variants(w, 2 if len(w) >= 6 else 1):
+                self.by.setdefault(v, []).append(w)
+
+    def near(self, q: str, r: int) -> list[tuple[str, int]]:
+        """(string, edits) within r edits; r is 2 for strings of 8 letters or more only, whose partners have 6 at least."""
+        by = self.by
+        met: set[str] = set()
+        for v in variants(q, r):
+            if found := by.get(v):
+                met.update(found)
+        return [(f, d) for f in met if (d := distance(q, f, r)) <= r]
+
+
 def _file(pivots: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -102,27 +109,19 @@ def _send(pivots: list[str], reach: dict[int, int]):
 
 
 def _join(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    by_variant: dict[str, list[str]] = {}
-    for f in index["word"]:
-        for v in variants(f, 2 if len(f) >= 5 else 1):
-            by_variant.setdefault(v, []).append(f)
-    out = []
-    for q in queries["word"]:
-        r = radius(q)
-        near = {f for v in variants(q, r) for f in by_variant.get(v, ())}
-        out += [(q, f, d) for f in near if (d := distance(q, f, r)) <= r]
-    return pd.DataFrame(out, columns=["q", "f", "gap"])
+    known = DeletionIndex(index["word"])
+    return pd.DataFrame([(q, f, d) for q in queries["word"] for f, d in known.near(q, radius(q))], columns=["q", "f", "gap"])
 
 
 def radius_join(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, f, gap) of every query q and indexed string f within radius(q) edits; both frames have distinct strings `word`.
 
-    Nulls are left out by the caller; the empty string matches itself. An empty side gives an empty result. The driver gets a sample
-    for the pivots and one row per cell, both bounded.
+    Nulls are left out by the caller; the empty string matches itself. An empty side gives an empty result. The driver gets the
+    pivots and one row per cell, both bounded.
     """
     index, seen = cut_counted(index, n=F.count("*"))
-    count = max(8, min(2048, int(sqrt(seen["n"]) / 2)))
-    pivots = pick_pivots([r["word"] for r in index.orderBy(F.xxhash64("word")).limit(PIVOT_SAMPLE).collect()], count) or [""]
+    count = max(8, min(MOST_PIVOTS, seen["n"] // CELL_SIZE))
+    pivots = [r["word"] for r in index.orderBy(F.xxhash64("word"), "word").limit(count).collect()] or [""]
     filed, _ = cut_counted(index.mapInPandas(_file(pivots), "word string, cell int, far int"))
     cells = {r["cell"]: (r["far"], r["n"]) for r in filed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     sent, _ = cut_counted(queries.mapInPandas(_send(pivots, {c: far for c, (far, _) in cells.items()}), "word string, cell int"))

@@ -84,22 +84,16 @@ class Name:
         self.family = self.words[1:]
 
     def points(self) -> list[tuple[str, list[str]]]:
-        """(string to look for among family keys, the words it leaves for given names): every word, every part of a hyphened word,
-        adjacent words joined. An organisation has its core word only."""
+        """(string to look for among family keys, the words it leaves for given names): every word and every part of a hyphened word.
+        An organisation has its core word only."""
         if self.org:
             return [(self.org, [])]
         out: dict[str, list[str]] = {}
-        n = len(self.words)
         for i, w in enumerate(self.words):
             rest = self.words[:i] + self.words[i + 1 :]
-            if len(w) >= 4:
-                out.setdefault(w, rest)
-            if len(self.parts[i]) > 1:
-                for x in self.parts[i]:
-                    if len(x) >= 4:
-                        out.setdefault(x, rest)
-            if i + 1 < n and min(len(w), len(self.words[i + 1])) > 1:
-                out.setdefault(w + self.words[i + 1], self.words[:i] + self.words[i + 2 :])
+            for x in (w, *(self.parts[i] if len(self.parts[i]) > 1 else ())):
+                if len(x) >= 4:
+                    out.setdefault(x, rest)
         return list(out.items())
 
     def keys(self) -> list[str]:
@@ -146,6 +140,7 @@ def distance(a: str, b: str, most: int) -> int:
 KIN = 0.15
 
 
+@lru_cache(1 << 18)
 def same_given(a: str, b: str) -> float:
     """How well two given names agree: 1 equal, 0.9 short form, 0.8 typing error, 0.5 initial, KIN for
     the forms of kin, 0 no."""
@@ -172,27 +167,28 @@ def same_given(a: str, b: str) -> float:
 
 def radius(word: str) -> int:
     """Edits allowed in a family name by its length."""
-    return 2 if len(word) >= 7 else 1 if len(word) >= 4 else 0
+    return 2 if len(word) >= 8 else 1 if len(word) >= 4 else 0
 
 
-def agreement(staged: Name, rest: list[str], gap: int, contact: Name) -> float:
-    """Score in 0..1 of two names whose family parts are `gap` edits apart; rest: the staged words not used by the family part."""
-    if contact.org:
-        if staged.org or not rest:
+def agreement(org: bool, words: list[str], rest: list[str], c_org: bool, c_words: list[str]) -> float:
+    """Score in 0..1 of a staged name and a golden one whose family parts are near: org and words of each; rest: the staged words not
+    used by the family part."""
+    if c_org:
+        if org or not rest:
             return 1.0
-        if staged.words and rest == staged.words[1:] and len(rest) <= 2 and len(contact.words) > 1 and rest[0][0] == contact.words[1][0] and not any(same_given(staged.words[0], x) >= 0.9 for x in contact.words[1:]):
+        if words and rest == words[1:] and len(rest) <= 2 and len(c_words) > 1 and rest[0][0] == c_words[1][0] and not any(same_given(words[0], x) >= 0.9 for x in c_words[1:]):
             return 0.6
         return 0.0
-    if staged.org:
+    if org or not c_words:
         return 0.0
+    given = c_words[0]
     best = 0.0
     whole = [x for x in rest if len(x) > 1]
-    for given in contact.given:
-        # an initial speaks only where no given name is written out
-        for i, x in enumerate(whole or rest[:1]):
-            best = max(best, same_given(x, given))
-            if i + 1 < len(whole):
-                best = max(best, same_given(x + whole[i + 1], given) - 0.05)
-        if rest and len(rest[0]) > 1 and len(given) > 4 and len(rest[0]) > 4 and distance(rest[0][:-1], given, 1) <= 1:
-            best = max(best, 0.7)  # the space between the words slipped by a letter
+    # an initial speaks only where no given name is written out
+    for i, x in enumerate(whole or rest[:1]):
+        best = max(best, same_given(x, given))
+        if i + 1 < len(whole):
+            best = max(best, same_given(x + whole[i + 1], given) - 0.05)
+    if rest and len(rest[0]) > 4 and len(given) > 4 and distance(rest[0][:-1], given, 1) <= 1:
+        best = max(best, 0.7)  # the space between the words slipped by a letter
     return best
