@@ -103,7 +103,8 @@ def _send(pivots: list[str], reach: dict[int, int]):
                 d = pivot_distances(words, pivots).astype(np.int32)
                 r = np.array([radius(w) for w in words])[:, None]
                 rows, cells = np.nonzero((d <= d.min(axis=1)[:, None] + 2 * r) & (d <= limit[None, :] + r))
-                yield pd.DataFrame({"word": [words[i] for i in rows], "cell": cells.astype("int32")})
+                if len(rows):
+                    yield pd.DataFrame({"word": [words[i] for i in rows], "cell": cells.astype("int32")})
 
     return run
 
@@ -119,8 +120,7 @@ def radius_join(index: DataFrame, queries: DataFrame) -> DataFrame:
     Nulls are left out by the caller; the empty string matches itself. An empty side gives an empty result. The driver gets the
     pivots and one row per cell, both bounded.
     """
-    index, seen = cut_counted(index, n=F.count("*"))
-    count = max(8, min(MOST_PIVOTS, seen["n"] // CELL_SIZE))
+    count = max(8, min(MOST_PIVOTS, index.count() // CELL_SIZE))
     pivots = [r["word"] for r in index.orderBy(F.xxhash64("word"), "word").limit(count).collect()] or [""]
     filed, _ = cut_counted(index.mapInPandas(_file(pivots), "word string, cell int, far int"))
     cells = {r["cell"]: (r["far"], r["n"]) for r in filed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}

@@ -34,19 +34,26 @@ _BEFORE = re.compile(r"^[^:]{2,60}:\s+")
 _DOTTED = re.compile(r"\b(?:[a-z]\.\s?){2,}(?:[a-z]\b\.?)?")
 _WORDS = re.compile(r"[a-z]+(?:['’`´\-‐‑][a-z]+)*")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
-_REPAIR = re.compile("[ÃÂÅÄ]")
+_REPAIR = re.compile("[Â-Åâ-å][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
+#: Longer words are no names and are left out of every comparison.
+LONGEST = 64
+
+
+def _read_again(m: re.Match) -> str:
+    """Two characters that are the bytes of one letter, read once more as UTF-8."""
+    pair = m.group()[0].upper() + m.group()[1]
+    for code in ("cp1252", "latin-1"):
+        try:
+            return pair.encode(code).decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+    return m.group()
 
 
 @lru_cache(65536)
 def folded(text: str) -> str:
     """Lower case without accents, look-alike letters and digits typed for letters; doubly encoded text is read once more."""
-    if _REPAIR.search(text):
-        for code in ("cp1252", "latin-1"):
-            try:
-                text = text.encode(code).decode("utf-8")
-                break
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
+    text = _REPAIR.sub(_read_again, text)
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).replace("_", " "))
     text = "".join(c for c in text if not unicodedata.combining(c))
     low = text.lower().translate(STROKES).translate(LOOKALIKES)
@@ -76,8 +83,8 @@ class Name:
         self.org = None
         if len(flat) > 1 and (any(w in LEGAL_FORMS for w in flat[1:]) or flat[-1] in ORGANISATION_WORDS):
             core = [w for w in flat if w not in LEGAL_FORMS and w != "the"]
-            self.org = _join(core[0]) if core else None
-        kept = [w for w in flat if w not in PARTICLES or len(flat) == 1]
+            self.org = _join(core[0]) if core and len(core[0]) <= LONGEST else None
+        kept = [w for w in flat if (w not in PARTICLES or len(flat) == 1) and len(w) <= LONGEST]
         self.words = [_join(w) for w in kept]
         self.parts = [[_join(x) for x in re.split("[^a-z]+", w)] for w in kept]
         self.given = self.words[:1]
@@ -170,6 +177,12 @@ def radius(word: str) -> int:
     return 2 if len(word) >= 8 else 1 if len(word) >= 4 else 0
 
 
+def initials(word: str) -> str:
+    """Letters of which two given names that agree have one in common: the first two of the word and the first of the forms it may
+    stand for. One typing error leaves one of the first two letters in place."""
+    return "".join(sorted({*word[:2], *(f[0] for f in _SHORT.get(word, ())), *(x[0] for x in NICKNAMES.get(word, "").split())}))
+
+
 def agreement(org: bool, words: list[str], rest: list[str], c_org: bool, c_words: list[str]) -> float:
     """Score in 0..1 of a staged name and a golden one whose family parts are near: org and words of each; rest: the staged words not
     used by the family part."""
