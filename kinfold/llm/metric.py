@@ -132,4 +132,6 @@ def radius_join(index: DataFrame, queries: DataFrame) -> DataFrame:
     left = filed.join(plan, "cell").select("cell", "word", F.pmod(F.xxhash64("word"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     right = sent.join(plan, "cell").select("cell", "word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.pmod(F.xxhash64("word"), F.col("salts")).cast("int").alias("salt"))
     keys = ["cell", "part", "salt"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_join, "q string, f string, gap int")
+    # as many partitions as groups: these are few bytes and much work, which coalescing by size would put into few tasks
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * sum(p * s for _, p, s in split), 4096))
+    return left.repartition(groups, *keys).groupBy(*keys).cogroup(right.repartition(groups, *keys).groupBy(*keys)).applyInPandas(_join, "q string, f string, gap int")

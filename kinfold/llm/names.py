@@ -202,6 +202,6 @@ def agreement(org: bool, words: list[str], rest: list[str], c_org: bool, c_words
         best = max(best, same_given(x, given))
         if i + 1 < len(whole):
             best = max(best, same_given(x + whole[i + 1], given) - 0.05)
-    if rest and len(rest[0]) > 4 and len(given) > 4 and distance(rest[0][:-1], given, 1) <= 1:
+    if not best and rest and len(rest[0]) > 4 and len(given) > 4 and distance(rest[0][:-1], given, 1) <= 1:
         best = max(best, 0.7)  # the space between the words slipped by a letter
     return best

@@ -99,8 +99,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staging rows and the contact their differently spelled name means."""
     staging, contacts = table(spark, sf_dir, "staging"), table(spark, sf_dir, "contacts")
     linked = people.link_variants(staging, contacts, table(spark, sf_dir, "contact_identities"))
-    named = linked.join(staging.select(F.col("id").alias("staging_id"), F.col("full_name").alias("sname")), "staging_id").join(contacts.select(F.col("id").alias("contact_id"), F.col("full_name").alias("cname")), "contact_id")
-    return named.filter("sname <> cname").select("staging_id", "contact_id")
+    return linked.filter("not same").select("staging_id", "contact_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,4 +151,20 @@ def _sql_groups() -> str:
  least_labels as (select id, min(label) as group_id from reach group by 1)"""
 
 
-ORACLE = {"p4_found": f"{_sql_groups()} select id as row_id, group_id from least_labels"}
+def _sql_survivors() -> str:
+    rows = " union all ".join(f"select l.group_id as group_key, '{f}' as field_name, {K.trimmed('s.' + f, DUCK)} as value, s.imported_at, s.id, coalesce(r.rank, {1 << 30}) as rank from staging s join least_labels l on l.id = s.id left join ranks r on r.source = s.source where not {K.is_blank('s.' + f, DUCK)}" for f in FIELDS)
+    usable = f"not {K.is_blank('new_value', DUCK)} and redacted_at is null and verification_status is distinct from 'disputed'"
+    return f"""{_sql_groups()}, ranks as (select source, min(trust_rank) as rank from feed_sources group by 1), vals as ({rows}),
+ firsts as (select *, row_number() over (partition by group_key, field_name order by imported_at desc, id desc) as newest, row_number() over (partition by group_key, field_name order by rank, imported_at desc, id desc) as best from vals),
+ agreed as (select group_key, field_name, max(case when newest = 1 then value end) as n, max(case when best = 1 then value end) as b from firsts group by 1, 2 having count(distinct value) > 1),
+ logged as (select *, coalesce(confidence, 0.4) as conf, coalesce(is_current, false) as cur, {usable} as usable from enrichment_log where contact_id is not null and field is not null and field <> '_merge'),
+ latest as (select *, row_number() over (partition by contact_id, field order by created_at desc, conf desc, id desc) as k from logged where usable)
+ select 'staging' as scope, group_key, field_name, n as survivor from agreed where n = b
+ union all select 'log', l.contact_id, l.field, l.id from latest l where k = 1 and not exists (select 1 from latest o where o.contact_id = l.contact_id and o.field = l.field and o.k > 1 and o.conf >= l.conf)
+ and not (l.cur and (select count(*) from logged c where c.contact_id = l.contact_id and c.field = l.field and c.cur) = 1)"""
+
+
+ORACLE = {
+    "p4_found": f"{_sql_groups()} select id as row_id, group_id from least_labels",
+    "p7_found": _sql_survivors(),
+}
