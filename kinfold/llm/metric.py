@@ -1,9 +1,10 @@
 """Exact radius joins of strings under the Levenshtein metric by metric-space partitioning.
 
-Pivots are spread over the space; every indexed string is filed in the cell of its nearest pivot, and a query goes to each cell that
-can hold a string within its radius: by the triangle inequality those whose pivot is at most twice the radius farther than the
-nearest one, and at most the radius beyond the farthest string filed there. Inside a cell the join is exact: strings that share a
-deletion variant are compared by the metric itself.
+The first pivot is the empty string: the distance to it is the length, so its cells are rings of one length, and a query goes to the
+rings within its radius. As the data grow, further pivots cut each ring: every indexed string is filed in the cell of its nearest
+pivot, and a query is replicated to each cell that can hold a string within its radius, by the triangle inequality those whose pivot
+is at most twice the radius farther than the nearest one, and at most the radius beyond the farthest string filed there. Inside a
+cell the join is exact: strings that share a deletion variant are compared by the metric itself.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from kinfold.session import cut_counted
 
 #: Strings of one cell that meet in one task: larger cells are split on both sides, which keeps every pair of the cell together once.
 CELL_INDEX, CELL_QUERIES = 16_000, 100_000
-#: Strings of a cell that the number of pivots aims at, and the most pivots. Pivots are strings of the index in hash order, so that
-#: dense regions get more of them and cells stay even; they steer the partition only, never the result.
-CELL_SIZE, MOST_PIVOTS = 8_000, 2_048
+#: Strings a pivot is added for, and the most pivots. Pivots are strings of the index in hash order, so that dense regions get more of
+#: them and cells stay even; they steer the partition only, never the result.
+CELL_SIZE, MOST_PIVOTS = 64_000, 2_048
+#: Rings of a pivot, one per length; strings are shorter than this.
+RINGS = 128
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -54,30 +57,41 @@ def pivot_distances(words: list[str], pivots: list[str]) -> np.ndarray:
 
 
 def variants(word: str, edits: int) -> set[str]:
-    """The word and all words left after at most `edits` deletions."""
-    out, last = {word}, {word}
+    """What is left of the word after exactly `edits` deletions."""
+    out = {word}
     for _ in range(edits):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out |= last
+        out = {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
     return out
 
 
-class DeletionIndex:
-    """Exact look-up of strings within two edits: two such strings have a deletion variant in common, each with as many deletions
-    as there are edits at most."""
+class RingIndex:
+    """Exact look-up among strings of one length. If two strings are within r edits, deleting at most r letters from each leaves the
+    same text; as more can always be deleted from both, it is enough to look at the largest number allowed on the query's side, which
+    the difference of the lengths ties to the number on the other."""
 
-    def __init__(self, words: Iterable[str]):
-        self.by: dict[str, list[str]] = {}
-        for w in words:
-            for v in variants(w, 2 if len(w) >= 6 else 1):
-                self.by.setdefault(v, []).append(w)
+    def __init__(self, words: Iterable[str], length: int):
+        self.length = length
+        self.words = list(words)
+        self.by: dict[int, dict[str, list[str]]] = {}
+
+    def _depth(self, b: int) -> dict[str, list[str]]:
+        if b not in self.by:
+            known = self.by[b] = {}
+            for w in self.words:
+                for v in variants(w, b):
+                    known.setdefault(v, []).append(w)
+        return self.by[b]
 
     def near(self, q: str, r: int) -> list[tuple[str, int]]:
-        """(string, edits) within r edits; r is 2 for strings of 8 letters or more only, whose partners have 6 at least."""
-        by = self.by
+        """(string, edits) within r edits."""
+        more = self.length - len(q)
+        if abs(more) > r:
+            return []
+        a = min(r, r - more, len(q))
+        known = self._depth(min(a + more, self.length))
         met: set[str] = set()
-        for v in variants(q, r):
-            if found := by.get(v):
+        for v in variants(q, a):
+            if found := known.get(v):
                 met.update(found)
         return [(f, d) for f in met if (d := distance(q, f, r)) <= r]
 
@@ -89,38 +103,48 @@ def _file(pivots: list[str]):
                 words = list(pdf["word"].iloc[at : at + 4096])
                 d = pivot_distances(words, pivots)
                 home = d.argmin(axis=1)
-                yield pd.DataFrame({"word": words, "cell": home.astype("int32"), "far": d[np.arange(len(words)), home].astype("int32")})
+                rings = np.array([len(w) for w in words])
+                yield pd.DataFrame({"word": words, "cell": (home * RINGS + rings).astype("int32"), "far": d[np.arange(len(words)), home].astype("int32")})
 
     return run
 
 
 def _send(pivots: list[str], reach: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit = np.array([reach.get(i, -(1 << 14)) for i in range(len(pivots))])
+        limit = np.full((len(pivots), RINGS), -(1 << 14))
+        for cell, far in reach.items():
+            limit[cell // RINGS, cell % RINGS] = far
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 words = list(pdf["word"].iloc[at : at + 4096])
                 d = pivot_distances(words, pivots).astype(np.int32)
-                r = np.array([radius(w) for w in words])[:, None]
-                rows, cells = np.nonzero((d <= d.min(axis=1)[:, None] + 2 * r) & (d <= limit[None, :] + r))
-                if len(rows):
-                    yield pd.DataFrame({"word": [words[i] for i in rows], "cell": cells.astype("int32")})
+                r = np.array([radius(w) for w in words])
+                rings = np.array([len(w) for w in words])
+                near = d <= d.min(axis=1)[:, None] + 2 * r[:, None]
+                sent, cells = [], []
+                for shift in range(-int(r.max()), int(r.max()) + 1):
+                    ring = np.clip(rings + shift, 0, RINGS - 1)
+                    rows, homes = np.nonzero(near & (abs(shift) <= r)[:, None] & (d <= limit[:, ring].T + r[:, None]))
+                    sent += [words[i] for i in rows]
+                    cells.append(homes * RINGS + ring[rows])
+                if sent:
+                    yield pd.DataFrame({"word": sent, "cell": np.concatenate(cells).astype("int32")})
 
     return run
 
 
 def _join(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    known = DeletionIndex(index["word"])
+    known = RingIndex(index["word"], int(key[0]) % RINGS)
     return pd.DataFrame([(q, f, d) for q in queries["word"] for f, d in known.near(q, radius(q))], columns=["q", "f", "gap"])
 
 
 def radius_join(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, f, gap) of every query q and indexed string f within radius(q) edits; both frames have distinct strings `word`.
 
-    Nulls are left out by the caller; the empty string matches itself. An empty side gives an empty result. The driver gets the
+    Nulls and strings of 128 letters or more are left out by the caller; the empty string matches itself. An empty side gives an empty result. The driver gets the
     pivots and one row per cell, both bounded.
     """
-    count = max(8, min(MOST_PIVOTS, index.count() // CELL_SIZE))
+    count = max(1, min(MOST_PIVOTS, index.count() // CELL_SIZE))
     pivots = [r["word"] for r in index.orderBy(F.xxhash64("word"), "word").limit(count).collect()] or [""]
     filed, _ = cut_counted(index.mapInPandas(_file(pivots), "word string, cell int, far int"))
     cells = {r["cell"]: (r["far"], r["n"]) for r in filed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
