@@ -44,6 +44,13 @@ def is_blank(expr: str, dialect: str = "spark") -> str:
     return f"({expr} is null or not {like(expr, '[\\p{L}\\p{Nd}]', dialect)} or lower({trimmed(expr, dialect)}) in ({_quoted(PLACEHOLDERS)}))"
 
 
+def let(expr: str, name: str, body: str, dialect: str = "spark") -> str:
+    """`body` with `name` standing for the value of `expr`, which is computed once."""
+    if dialect == "spark":
+        return f"get(transform(array({expr}), {name} -> {body}), 0)"
+    return f"list_transform([{expr}], lambda {name}: {body})[1]"
+
+
 def email_key(expr: str, dialect: str = "spark") -> str:
     """Lower-case address, or null without @, with an inner blank, an empty local part, or a domain undotted or ending in a dot."""
     v = f"lower({trimmed(expr, dialect)})"
@@ -53,18 +60,19 @@ def email_key(expr: str, dialect: str = "spark") -> str:
 def handle_key(expr: str, dialect: str = "spark") -> str:
     """Bare lower-case handle from a handle, an @handle or a profile URL; null unless only a-z, 0-9 and _ remain."""
     v = f"lower({trimmed(expr, dialect)})"
-    v = sub(sub(v, "^(https?://)?(www[.]|m[.])?x[.]example/([^/?#]*).*$", "$3" if dialect == "spark" else "\\\\3".replace("\\\\", "\\"), dialect), "^@", "", dialect)
-    return f"(case when {like(v, '^[a-z0-9_]+$', dialect)} then {v} end)"
+    v = sub(sub(v, "^(https?://)?(www[.]|m[.])?x[.]example/([^/?#]*).*$", "$3" if dialect == "spark" else "\\3", dialect), "^@", "", dialect)
+    return let(v, "h", f"case when {like('h', '^[a-z0-9_]+$', dialect)} then h end", dialect)
 
 
 def phone_key(expr: str, dialect: str = "spark") -> str:
     """Digits with country code; an extension is dropped, + or 00 marks the code, ten digits alone get 1."""
     v = sub(sub(f"lower({expr})", "[x][^0-9]*[0-9]+[^0-9]*$", "", dialect), "[^0-9+]", "", dialect)
-    digits = sub(v, "[^0-9]", "", dialect)
-    return (
-        f"(case when {digits} = '' then null when {like(v, '^[+]', dialect)} then {digits} when {like(v, '^00', dialect)} then nullif({sub(digits, '^00', '', dialect)}, '')"
-        f" when length({digits}) = 10 then concat('1', {digits}) else {digits} end)"
+    digits = "replace(p, '+', '')"
+    body = (
+        f"case when {digits} = '' then null when substring(p, 1, 1) = '+' then {digits} when substring(p, 1, 2) = '00' then nullif(substring({digits}, 3), '')"
+        f" when length({digits}) = 10 then concat('1', {digits}) else {digits} end"
     )
+    return let(v, "p", body, dialect)
 
 
 def linkedin_key(expr: str, dialect: str = "spark") -> str:
