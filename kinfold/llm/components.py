@@ -80,12 +80,8 @@ def key_groups(rows: DataFrame, row_id: str, key_columns: list[str]) -> DataFram
 
 def card_keys(staging: DataFrame) -> DataFrame:
     """(id, email, phone, linkedin_url, handle) with canonical keys; shared mailboxes give no key."""
-    email = K.email_key("email")
-    return staging.select(
-        "id",
-        F.expr(f"case when not {K.is_role_email(email)} then {email} end").alias("email"),
-        *[F.expr(K.KEY_BUILDERS[c](c)).alias(c) for c in ("phone", "linkedin_url", "handle")],
-    )
+    keyed = staging.select("id", *[F.expr(K.KEY_BUILDERS[c](c)).alias(c) for c in ("email", "phone", "linkedin_url", "handle")])
+    return keyed.withColumn("email", F.expr(f"case when not {K.is_role_email('email')} then email end"))
 
 
 def card_groups(staging: DataFrame) -> DataFrame:

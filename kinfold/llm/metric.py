@@ -57,11 +57,13 @@ def pivot_distances(words: list[str], pivots: list[str]) -> np.ndarray:
 
 
 def variants(word: str, edits: int) -> set[str]:
-    """What is left of the word after exactly `edits` deletions."""
-    out = {word}
-    for _ in range(edits):
-        out = {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
-    return out
+    """What is left of the word after exactly `edits` deletions, at most two."""
+    if not edits:
+        return {word}
+    once = [word[:i] + word[i + 1 :] for i in range(len(word))]
+    if edits == 1:
+        return set(once)
+    return {w[:j] + w[j + 1 :] for i, w in enumerate(once) for j in range(i, len(w))}
 
 
 class RingIndex:
