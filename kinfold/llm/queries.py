@@ -43,16 +43,15 @@ def _weighted(values: DataFrame, summary: DataFrame) -> DataFrame:
     return keyed.select(*GF, "value", (F.col("n") + heavy * (F.col("rows") + 1)).cast("double").alias("weight"))
 
 
-def _staging_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_key, field_name, survivor, distance, n_values, newest, best)."""
+def _staging_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Values of the groups, and (group_key, field_name, rows, n_values, newest, best)."""
     values = cut(_staging_values(spark, sf_dir))
-    summary = cut(values.groupBy(*GF).agg(F.sum("n").alias("rows"), F.count("*").alias("n_values"), F.max_by("value", "last").alias("newest"), F.min_by("value", "trusted").alias("best")))
-    return survivors.consensus(_weighted(values, summary)).join(summary.drop("rows"), GF)
+    return values, values.groupBy(*GF).agg(F.sum("n").alias("rows"), F.count("*").alias("n_values"), F.max_by("value", "last").alias("newest"), F.min_by("value", "trusted").alias("best"))
 
 
-def _log_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_key, field_name, survivor, newest, and of the latest usable row: latest_id, whether it leads alone in confidence, whether
-    the flag is on it alone). Rows combine map-side per pair and value, so a hot pair costs one row per partition and value."""
+def _log_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Values of the usable rows, and per pair what _staging_groups gives, the latest usable row, whether it leads alone in confidence
+    and whether the flag is on it alone. Rows combine map-side per pair and value, so a hot pair costs one row per partition and value."""
     log = table(spark, sf_dir, "enrichment_log").filter("contact_id is not null and field is not null and field <> '_merge'")
     log = log.select(
         "id", F.col("contact_id").alias("group_key"), F.col("field").alias("field_name"), F.expr(K.trimmed("new_value")).alias("value"), "created_at", F.coalesce("confidence", F.lit(0.4)).alias("conf"),
@@ -66,7 +65,7 @@ def _log_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     used = F.col("usable")
-    pair = cut(
+    pair = (
         per_value.groupBy(*GF).agg(
             F.max(F.when(used, F.col("last"))).alias("latest"), F.max(F.when(used, F.col("top"))).alias("top"), F.max(F.when(used, F.col("top_low"))).alias("top_low"), F.sum("current").alias("current"), F.max("current_id").alias("current_id"),
             F.sum(F.when(used, F.col("n"))).alias("rows"), F.count(F.when(used, 1)).alias("n_values"), F.max_by("value", F.when(used, F.col("last"))).alias("newest"),
@@ -74,20 +73,30 @@ def _log_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(*GF, "rows", "n_values", "newest", F.col("newest").alias("best"), F.col("latest.id").alias("latest_id"),
                 F.expr("top.conf = latest.conf and top.h = xxhash64(latest.id) and top.h = -top_low.h").alias("leads"), F.expr("current = 1 and current_id = latest.id").alias("flagged"))
     )
-    kept = survivors.consensus(_weighted(per_value.filter("usable"), pair))
-    return kept.join(pair.select(*GF, "newest", "latest_id", "leads", "flagged"), GF)
+    return per_value.filter("usable"), pair
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors of the groups whose newest and most trusted values agree, and of the log pairs whose flag is not on their one good row."""
-    staged = _staging_survivors(spark, sf_dir).filter("n_values > 1 and newest = best and survivor = newest")
-    log = _log_survivors(spark, sf_dir).filter("survivor = newest and leads and not flagged")
-    return staged.select(F.lit("staging").alias("scope"), *GF, "survivor").unionByName(log.select(F.lit("log").alias("scope"), *GF, F.col("latest_id").alias("survivor")))
+    """Survivors of the groups whose newest and most trusted values agree, and of the log pairs whose flag is not on their one good row.
+
+    Both scopes go through one consensus, their group keys marked with the scope."""
+    values, groups = _staging_groups(spark, sf_dir)
+    logged, pairs = _log_pairs(spark, sf_dir)
+
+    def scoped(df: DataFrame, scope: str) -> DataFrame:
+        return df.withColumn("group_key", F.concat(F.lit(scope + "|"), "group_key"))
+
+    every = scoped(values.select(*GF, "value", "n"), "staging").unionByName(scoped(logged.select(*GF, "value", "n"), "log"))
+    summary = cut(scoped(groups, "staging").unionByName(scoped(pairs, "log"), allowMissingColumns=True))
+    kept = survivors.consensus(_weighted(every, summary)).join(summary.drop("rows"), GF)
+    good = kept.filter("survivor = newest and case when latest_id is null then n_values > 1 and newest = best else leads and not flagged end")
+    return good.select(F.split_part("group_key", F.lit("|"), F.lit(1)).alias("scope"), F.expr("substring(group_key, instr(group_key, '|') + 1)").alias("group_key"), "field_name", F.coalesce("latest_id", "survivor").alias("survivor"))
 
 
 def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving value of every group and field of staging."""
-    return _staging_survivors(spark, sf_dir).select("group_key", "field_name", "survivor", "distance")
+    values, groups = _staging_groups(spark, sf_dir)
+    return survivors.consensus(_weighted(values, cut(groups))).select("group_key", "field_name", "survivor", "distance")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
