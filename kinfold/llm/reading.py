@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -35,19 +36,23 @@ _BREAK = re.compile(r"\n+|[ \t]/[ \t]")
 _STOP = re.compile(r"[.!?…]+[\"”»)]*\s+")
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences of the running text: stamps, headings, list items, mail headers and quoted lines are left out, as are pieces of
-    fewer than two words."""
+def prose(text: str) -> list[tuple[str, list[str]]]:
+    """The sentences of the running text with their words: stamps, headings, list items, mail headers and quoted lines are left out,
+    as are pieces of fewer than two words."""
     out = []
     for line in _BREAK.split(_NOT_PROSE.sub("", _STAMP.sub("", text))):
         start = 0
         for m in _STOP.finditer(line):
             if m.group().strip() == "." and _ABBREVIATION.search(line[max(0, m.start() - 12) : m.start() + 1]):
                 continue
-            out.append(line[start : m.end()].strip())
+            out.append(line[start : m.end()])
             start = m.end()
-        out.append(line[start:].strip())
-    return [s for s in out if sum(1 for _ in zip(range(2), _WORD.finditer(s))) == 2]
+        out.append(line[start:])
+    return [(s, words) for s in out if len(words := _WORD.findall(s)) > 1]
+
+
+def sentences(text: str) -> list[str]:
+    return [s.strip() for s, _ in prose(text)]
 
 
 class Languages:
@@ -76,17 +81,17 @@ class Languages:
         return self.names[max(range(len(total)), key=total.__getitem__)] if seen else None
 
 
-def features(text: str, familiar: set[str]) -> tuple[int, float, float, float]:
-    """(sentences, unfamiliar letters a word, familiar letters a word, log of words a sentence). Capitalised words inside a sentence
-    are names, known to a reader, unless the language writes nouns so; they count for the sentence length only."""
-    found = sentences(text)
+def features(found: list[tuple[list[str], list[str]]], familiar: set[str]) -> tuple[int, float, float, float]:
+    """(sentences, unfamiliar letters a word, familiar letters a word, log of words a sentence) of sentences as (words, lower-case
+    words). Capitalised words inside a sentence are names, known to a reader, unless the language writes nouns so; they count for the
+    sentence length only."""
     nouns = "\0nouns" in familiar
     words = counted = known = strange = 0
-    for s in found:
+    for written, low in found:
+        words += len(low)
         first = True
-        for w in _WORD.findall(s):
-            words += 1
-            if w.lower() in familiar:
+        for w, v in zip(written, low):
+            if v in familiar:
                 counted += 1
                 known += len(w)
             elif first or nouns or not w[0].isupper():
@@ -96,6 +101,10 @@ def features(text: str, familiar: set[str]) -> tuple[int, float, float, float]:
     return len(found), strange / max(counted, 1), known / max(counted, 1), log(1 + words / max(len(found), 1))
 
 
+def cased(text: str) -> list[tuple[list[str], list[str]]]:
+    return [(words, [w.lower() for w in words]) for _, words in prose(text)]
+
+
 #: Languages that write every noun with a capital letter.
 CAPITAL_NOUNS = ("de",)
 
@@ -105,9 +114,10 @@ class Model:
         self.languages, self.familiar, self.constants = languages, familiar, constants
 
     def level(self, text: str) -> tuple[str | None, int, float | None]:
-        """(language, sentences of prose, level from 1 to 5); no level without a sentence or a language."""
-        lang = self.languages.of(Counter(w.lower() for w in _WORD.findall(text)))
-        n, *x = features(text, self.familiar.get(lang, set()))
+        """(language of the prose, its sentences, level from 1 to 5); no level without a sentence or a language."""
+        found = cased(text)
+        lang = self.languages.of(Counter(chain.from_iterable(low for _, low in found)))
+        n, *x = features(found, self.familiar.get(lang, set()))
         if not n or lang not in self.constants:
             return lang, n, None
         return lang, n, float(min(5.0, max(1.0, np.dot(self.constants[lang], [1.0, *x]))))
@@ -122,7 +132,7 @@ def _count(languages: Languages):
 
         for pdf in batches:
             for text in pdf["text"]:
-                words = Counter(w.lower() for w in _WORD.findall(text))
+                words = Counter(_WORD.findall(text.lower()))
                 lang = languages.of(words)
                 if lang:
                     held[lang, ""] += 1
@@ -155,7 +165,7 @@ def fit(docs: DataFrame, samples: DataFrame, text: str = "text", share: float =
     familiar = familiar_words(docs, text, languages, share)
     constants = {}
     for lang in languages.names:
-        x = np.array([[1.0, *features(t, familiar.get(lang, set()))[1:]] for l, _, t in rows if l == lang])
+        x = np.array([[1.0, *features(cased(t), familiar.get(lang, set()))[1:]] for l, _, t in rows if l == lang])
         y = np.array([g for l, g, _ in rows if l == lang], dtype=float)
         constants[lang] = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ y)
     return Model(languages, familiar, constants)
