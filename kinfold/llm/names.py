@@ -30,6 +30,7 @@ for _full, _forms in NICKNAMES.items():
 
 _BRACKETS = re.compile(r"\([^)]*\)?|\[[^\]]*\]?|<[^>]*>?|\{[^}]*\}?")
 _AFTER = re.compile(r"\s+(?:[-–—|/•·@]|at\b|bei\b|chez\b)\s.*$|\s*@.*$|\s*[|•·].*$")
+_AFTER_MARKS = ("-", "–", "—", "|", "/", "•", "·", "@", "at", "bei", "chez")
 _BEFORE = re.compile(r"^[^:]{2,60}:\s+")
 _DOTTED = re.compile(r"\b(?:[a-z]\.\s?){2,}(?:[a-z]\b\.?)?")
 _WORDS = re.compile(r"[a-z]+(?:['’`´\-‐‑][a-z]+)*")
@@ -50,14 +51,21 @@ def _read_again(m: re.Match) -> str:
     return m.group()
 
 
+_ANY_DIGIT = re.compile("[013457]")
+_TYPED_DIGITS = re.compile("(?<=[a-z])[013457]+|[013457]+(?=[a-z])")
+
+
 @lru_cache(65536)
 def folded(text: str) -> str:
     """Lower case without accents, look-alike letters and digits typed for letters; doubly encoded text is read once more."""
+    if text.isascii():
+        low = text.replace("_", " ").lower()
+        return _TYPED_DIGITS.sub(lambda m: m.group().translate(DIGITS), low) if _ANY_DIGIT.search(low) else low
     text = _REPAIR.sub(_read_again, text)
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).replace("_", " "))
     text = "".join(c for c in text if not unicodedata.combining(c))
     low = text.lower().translate(STROKES).translate(LOOKALIKES)
-    return re.sub(r"(?<=[a-z])[013457]+|[013457]+(?=[a-z])", lambda m: m.group().translate(DIGITS), low)
+    return _TYPED_DIGITS.sub(lambda m: m.group().translate(DIGITS), low)
 
 
 class Name:
@@ -70,10 +78,15 @@ class Name:
         if " " not in raw and "_" not in raw and "." not in raw and "-" not in raw:
             raw = _CAMEL.sub(" ", raw)
         s = folded(raw)
-        s = _BRACKETS.sub(" ", s)
-        s = _BEFORE.sub("", s)
-        s = _AFTER.sub("", s)
-        s = _DOTTED.sub(lambda m: m.group().replace(".", "").replace(" ", "") + " " if m.group().replace(".", "").replace(" ", "") in LEGAL_FORMS else m.group(), s)
+        # most names have none of the marks that the patterns look for
+        if any(c in s for c in "([<{"):
+            s = _BRACKETS.sub(" ", s)
+        if ":" in s:
+            s = _BEFORE.sub("", s)
+        if any(c in s for c in _AFTER_MARKS):
+            s = _AFTER.sub("", s)
+        if "." in s:
+            s = _DOTTED.sub(lambda m: m.group().replace(".", "").replace(" ", "") + " " if m.group().replace(".", "").replace(" ", "") in LEGAL_FORMS else m.group(), s)
         head, comma, tail = s.partition(",")
         parts = [[w for w in _WORDS.findall(x.replace(".", " "))] for x in (head, tail)]
         parts = [[w for w in x if w not in TITLES] for x in parts]
@@ -131,6 +144,9 @@ def distance(a: str, b: str, most: int) -> int:
         a, b = a[:-1], b[:-1]
     if not a or not b:
         return min(len(a) + len(b), most + 1)
+    if len(a) == 1 or len(b) == 1:
+        one, other = (a, b) if len(a) == 1 else (b, a)
+        return min(len(other) - (one in other), most + 1)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         prev, row[0], low = row[0], i, i
