@@ -188,6 +188,14 @@ def same_given(a: str, b: str) -> float:
     return 0.0
 
 
+def full_forms(word: str) -> frozenset[str] | set[str]:
+    return _SHORT.get(word, frozenset())
+
+
+def short_forms(word: str) -> list[str]:
+    return NICKNAMES.get(word, "").split()
+
+
 def radius(word: str) -> int:
     """Edits allowed in a family name by its length."""
     return 2 if len(word) >= 8 else 1 if len(word) >= 4 else 0
