@@ -31,16 +31,17 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 # Abbreviations after which a full stop ends no sentence.
 _ABBREVIATION = re.compile(r"(?:^|[\s(])(?:St|Inc|Ltd|Co|S\.A|G\.m\.b\.H|Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Mme|[A-Z])\.$")
 _STAMP = re.compile(r"^[ \t]*\[[^\]\n]{3,60}\][ \t]*", re.M)
-_NOT_PROSE = re.compile(r"^[ \t]*(?:[#>*•|]+|-{1,3}|\d{1,2}[.)])[ \t].*$|^[A-Z][\w-]{1,12}:[ \t].*$", re.M)
+_NOT_PROSE = re.compile(r"^[ \t]*(?:[#>*•|]+|-{1,3}|\d{1,2}[.)])[ \t].*$|^(?:From|To|Cc|Subject|Date|Sent):[ \t].*$", re.M)
+_LABEL = re.compile(r"^[A-Z][\w-]{1,12}:[ \t]+", re.M)
 _BREAK = re.compile(r"\n+|[ \t]/[ \t]")
 _STOP = re.compile(r"[.!?…]+[\"”»)]*\s+")
 
 
 def prose(text: str) -> list[tuple[str, list[str]]]:
     """The sentences of the running text with their words: stamps, headings, list items, mail headers and quoted lines are left out,
-    as are pieces of fewer than two words."""
+    as are pieces of fewer than two words. Of a line with another label ("FYI: ...") only the label is left out."""
     out = []
-    for line in _BREAK.split(_NOT_PROSE.sub("", _STAMP.sub("", text))):
+    for line in _BREAK.split(_LABEL.sub("", _NOT_PROSE.sub("", _STAMP.sub("", text)))):
         start = 0
         for m in _STOP.finditer(line):
             if m.group().strip() == "." and _ABBREVIATION.search(line[max(0, m.start() - 12) : m.start() + 1]):

@@ -11,6 +11,10 @@ def test_sentences_of_prose():
     assert R.sentences("") == [] and R.sentences("🙂 ...") == []
 
 
+def test_a_label_leaves_the_sentences_behind_it():
+    assert R.sentences("FYI: Pursuant to the terms, we agreed. It held.\nNote: More came later.\nCc: a@b.c\nSent: on Monday") == ["Pursuant to the terms, we agreed.", "It held.", "More came later."]
+
+
 @pytest.fixture(scope="module")
 def model(spark, sf):
     return R.fit(table(spark, sf, "documents"), table(spark, sf, "level_samples"))
