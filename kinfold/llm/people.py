@@ -16,7 +16,8 @@ from kinfold.llm.names import KIN, LEGAL_FORMS, Name, agreement, distance, folde
 from kinfold.operators.skew import lookup_join
 from kinfold.session import cut
 
-#: Contacts of one name that a row is compared with one by one; beyond, an attribute that singles one out leads to it.
+#: Contacts of one name that a row is compared with one by one; beyond, those equal in all compared attributes are compared once.
+#: Steers the work, not the result.
 NAMESAKES = 20
 
 
@@ -136,7 +137,7 @@ def _weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             domain = domain_core(r.email)
             agrees = domain is not None and (distance(domain, company_core(r.c_company) or "", 1) <= 1 or domain == (r.c_domain or "").split(".")[0])
             out.append(pair_logit(r.given, r.gap, same_company(r.company, r.c_company), _place(r.location, r.c_location), agrees, bool(r.shared), bool(r.has_mark) and bool(r.c_has_mark)))
-        yield pd.DataFrame({"row_id": pdf["row_id"], "contact_id": pdf["contact_id"], "same": pdf["same"], "logit": out})
+        yield pd.DataFrame({"row_id": pdf["row_id"], "contact_id": pdf["contact_id"], "same": pdf["same"], "n": pdf["n"], "logit": out})
 
 
 def link_variants(staging: DataFrame, contacts: DataFrame, identities: DataFrame, use_keys: bool = True, least: float = 0.0, margin: float = 0.5) -> DataFrame:
@@ -160,14 +161,16 @@ def link_variants(staging: DataFrame, contacts: DataFrame, identities: DataFrame
     told = rows.join(pairs, "sname")
     crowd = golden.groupBy("cname").agg(F.count("*").alias("n")).filter(F.col("n") > NAMESAKES).select("cname")
     if crowd.limit(1).count():
-        # of many namesakes only one that a key leads to can be told apart
-        near = told.join(golden.join(crowd, "cname", "left_anti"), "cname")
-        led = told.join(crowd, "cname", "left_semi").join(shared.select("row_id", "contact_id"), "row_id").join(golden, ["contact_id", "cname"])
-        both = near.unionByName(led)
+        # namesakes that nothing compared tells apart stand for each other, and tie; one that a key leads to stands for itself too
+        near = told.join(golden.join(crowd, "cname", "left_anti"), "cname").withColumn("n", F.lit(1).cast("long"))
+        packed = told.join(crowd, "cname", "left_semi")
+        kinds = golden.join(crowd, "cname", "left_semi").join(marked, "contact_id", "left").groupBy("cname", "c_company", "c_location", "c_domain", "c_has_mark").agg(F.min("contact_id").alias("contact_id"), F.count("*").alias("n")).drop("c_has_mark")
+        led = packed.join(shared.select("row_id", "contact_id"), "row_id").join(golden, ["contact_id", "cname"]).withColumn("n", F.lit(1).cast("long"))
+        both = near.unionByName(packed.join(kinds, "cname").unionByName(led).dropDuplicates(["row_id", "contact_id", "n"]))
     else:
-        both = told.join(golden, "cname")
+        both = told.join(golden, "cname").withColumn("n", F.lit(1).cast("long"))
     full = both.join(shared, ["row_id", "contact_id"], "left").join(has_mark, "row_id", "left").join(marked, "contact_id", "left").withColumn("same", F.col("sname") == F.col("cname"))
-    weighed = full.select("row_id", "contact_id", "same", "given", "gap", "company", "location", "email", "c_company", "c_location", "c_domain", F.coalesce("shared", F.lit(False)).alias("shared"), F.coalesce("has_mark", F.lit(False)).alias("has_mark"), F.coalesce("c_has_mark", F.lit(False)).alias("c_has_mark")).mapInPandas(_weigh, "row_id string, contact_id string, same boolean, logit double")
+    weighed = full.select("row_id", "contact_id", "same", "given", "gap", "company", "location", "email", "c_company", "c_location", "c_domain", "n", (F.coalesce("shared", F.lit(False)) & (F.col("n") == 1)).alias("shared"), F.coalesce("has_mark", F.lit(False)).alias("has_mark"), F.coalesce("c_has_mark", F.lit(False)).alias("c_has_mark")).mapInPandas(_weigh, "row_id string, contact_id string, same boolean, n long, logit double")
     order = Window.partitionBy("row_id").orderBy(F.desc("logit"), "contact_id")
     ranked = weighed.filter(F.col("logit") > least).withColumns({"k": F.row_number().over(order), "next": F.lead("logit").over(order)})
-    return ranked.filter(f"k = 1 and (next is null or logit - next >= {margin})").select(F.col("row_id").alias("staging_id"), "contact_id", "logit", "same")
+    return ranked.filter(f"k = 1 and n = 1 and (next is null or logit - next >= {margin})").select(F.col("row_id").alias("staging_id"), "contact_id", "logit", "same")
