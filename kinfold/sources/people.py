@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import sqlite3
 import zipfile
@@ -37,14 +38,16 @@ def parse_mapping(text: str, allowed: tuple[str, ...] = MAPPABLE) -> dict[str, s
     return out
 
 
-def encoding_of(path: str, probe: int = 1 << 20) -> str:
-    """UTF-8 when the first bytes of a local file read as such, Latin-1 otherwise; folders and remote paths are UTF-8."""
+def encoding_of(path: str, block: int = 1 << 20) -> str:
+    """UTF-8 when the whole of a local file reads as such, Latin-1 otherwise; folders and remote paths are UTF-8."""
     if not os.path.isfile(path):
         return "UTF-8"
-    with open(path, "rb") as f:
-        head = f.read(probe)
+    decoder = codecs.getincrementaldecoder("utf-8")("strict")
     try:
-        head[: len(head) - 3].decode("utf-8")
+        with open(path, "rb") as f:
+            while data := f.read(block):
+                decoder.decode(data)
+        decoder.decode(b"", True)
         return "UTF-8"
     except UnicodeDecodeError:
         return "ISO-8859-1"

@@ -101,3 +101,13 @@ def test_stream_equals_batch(spark, sf):
     staged, ident = table(spark, sf, "staging_interactions"), table(spark, sf, "contact_identities")
     got = {r["id"]: r["contact_id"] for r in run_available(spark, f"{sf}/staging_interactions.parquet", ident).collect()}
     assert got == {r["id"]: r["contact_id"] for r in touchpoints.link(staged, ident).collect()}
+
+
+def test_encoding_is_judged_by_the_whole_file(tmp_path):
+    late, cut, whole = tmp_path / "late.csv", tmp_path / "cut.csv", tmp_path / "whole.csv"
+    late.write_bytes(b"name\n" + b"Ada Lovelace\n" * 100_000 + "Zoé\n".encode("latin-1"))
+    cut.write_bytes("name\r\nZoé\r\n".encode())
+    whole.write_bytes("é".encode() * (1 << 20))
+    assert [people.encoding_of(str(p)) for p in (late, cut, whole)] == ["ISO-8859-1", "UTF-8", "UTF-8"]
+    late.write_bytes("Zoé".encode()[:-1])
+    assert people.encoding_of(str(late)) == "ISO-8859-1"
