@@ -24,7 +24,7 @@ CELL_INDEX, CELL_QUERIES = 16_000, 100_000
 #: Strings a pivot is added for, and the most pivots. Pivots are strings of the index in hash order, so that dense regions get more of
 #: them and cells stay even; they steer the partition only, never the result.
 CELL_SIZE, MOST_PIVOTS = 64_000, 2_048
-#: Rings of a pivot, one per length; strings are shorter than this.
+#: Rings of a pivot, one per length; longer strings, which are few, are compared with those of a near length.
 RINGS = 128
 
 
@@ -126,7 +126,7 @@ def _send(pivots: list[str], reach: dict[int, int]):
                 sent, cells = [], []
                 for shift in range(-int(r.max()), int(r.max()) + 1):
                     ring = np.clip(rings + shift, 0, RINGS - 1)
-                    rows, homes = np.nonzero(near & (abs(shift) <= r)[:, None] & (d <= limit[:, ring].T + r[:, None]))
+                    rows, homes = np.nonzero(near & ((abs(shift) <= r) & (ring == rings + shift))[:, None] & (d <= limit[:, ring].T + r[:, None]))
                     sent += [words[i] for i in rows]
                     cells.append(homes * RINGS + ring[rows])
                 if sent:
@@ -140,13 +140,30 @@ def _join(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(q, f, d) for q in queries["word"] for f, d in known.near(q, radius(q))], columns=["q", "f", "gap"])
 
 
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(q, f, d) for q, f in zip(pdf["q"], pdf["f"]) if (d := distance(q, f, r := radius(q))) <= r], columns=["q", "f", "gap"])
+
+
+def _long_join(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """radius_join for indexed strings beyond the rings."""
+    filed = index.filter(F.length("word") >= RINGS).select(F.col("word").alias("f"), F.length("word").alias("length"))
+    asked = queries.filter(F.length("word") >= RINGS - 2).select(F.col("word").alias("q"), F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)).alias("length"))
+    return asked.join(filed, "length").select("q", "f").mapInPandas(_compare, "q string, f string, gap int")
+
+
 def radius_join(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, f, gap) of every query q and indexed string f within radius(q) edits; both frames have distinct strings `word`.
 
-    Nulls and strings of 128 letters or more are left out by the caller; the empty string matches itself. An empty side gives an empty result. The driver gets the
+    Nulls are left out by the caller; the empty string matches itself. An empty side gives an empty result. The driver gets the
     pivots and one row per cell, both bounded.
     """
-    count = max(1, min(MOST_PIVOTS, index.count() // CELL_SIZE))
+    size = index.agg(F.count("*").alias("n"), F.count_if(F.length("word") >= RINGS).alias("long")).first()
+    every = (index, queries)
+    if size["long"]:
+        index = index.filter(F.length("word") < RINGS)
+    queries = queries.filter(F.length("word") < RINGS + 2)
+    count = max(1, min(MOST_PIVOTS, size["n"] // CELL_SIZE))
     pivots = [r["word"] for r in index.orderBy(F.xxhash64("word"), "word").limit(count).collect()] or [""]
     filed, _ = cut_counted(index.mapInPandas(_file(pivots), "word string, cell int, far int"))
     cells = {r["cell"]: (r["far"], r["n"]) for r in filed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
@@ -160,4 +177,5 @@ def radius_join(index: DataFrame, queries: DataFrame) -> DataFrame:
     keys = ["cell", "part", "salt"]
     # as many partitions as groups: these are few bytes and much work, which coalescing by size would put into few tasks
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * sum(p * s for _, p, s in split), 4096))
-    return left.repartition(groups, *keys).groupBy(*keys).cogroup(right.repartition(groups, *keys).groupBy(*keys)).applyInPandas(_join, "q string, f string, gap int")
+    joined = left.repartition(groups, *keys).groupBy(*keys).cogroup(right.repartition(groups, *keys).groupBy(*keys)).applyInPandas(_join, "q string, f string, gap int")
+    return joined.unionByName(_long_join(*every)) if size["long"] else joined
