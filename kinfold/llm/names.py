@@ -36,7 +36,7 @@ _DOTTED = re.compile(r"\b(?:[a-z]\.\s?){2,}(?:[a-z]\b\.?)?")
 _WORDS = re.compile(r"[a-z]+(?:['’`´\-‐‑][a-z]+)*")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
 _REPAIR = re.compile("[Â-Åâ-å][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
-#: Longer words are no names and are left out of every comparison.
+#: Longer words are compared for equality only.
 LONGEST = 64
 
 
@@ -96,8 +96,8 @@ class Name:
         self.org = None
         if len(flat) > 1 and (any(w in LEGAL_FORMS for w in flat[1:]) or flat[-1] in ORGANISATION_WORDS):
             core = [w for w in flat if w not in LEGAL_FORMS and w != "the"]
-            self.org = _join(core[0]) if core and len(core[0]) <= LONGEST else None
-        kept = [w for w in flat if (w not in PARTICLES or len(flat) == 1) and len(w) <= LONGEST]
+            self.org = _join(core[0]) if core else None
+        kept = [w for w in flat if w not in PARTICLES or len(flat) == 1]
         self.words = [_join(w) for w in kept]
         self.parts = [[_join(x) for x in re.split("[^a-z]+", w)] for w in kept]
         self.given = self.words[:1]
@@ -112,7 +112,7 @@ class Name:
         for i, w in enumerate(self.words):
             rest = self.words[:i] + self.words[i + 1 :]
             for x in (w, *(self.parts[i] if len(self.parts[i]) > 1 else ())):
-                if len(x) >= 4:
+                if len(x) >= 2:
                     out.setdefault(x, rest)
         return list(out.items())
 
@@ -171,6 +171,8 @@ def same_given(a: str, b: str) -> float:
         return 1.0
     if len(a) == 1 or len(b) == 1:
         return 0.5 if a[0] == b[0] else 0.0
+    if max(len(a), len(b)) > LONGEST:
+        return 0.0
     if b in _SHORT.get(a, ()) or a in _SHORT.get(b, ()) or _SHORT.get(a, frozenset()) & _SHORT.get(b, frozenset()):
         return 0.9
     if a + "a" == b or b + "a" == a:
@@ -197,8 +199,8 @@ def short_forms(word: str) -> list[str]:
 
 
 def radius(word: str) -> int:
-    """Edits allowed in a family name by its length."""
-    return 2 if len(word) >= 8 else 1 if len(word) >= 4 else 0
+    """Edits allowed in a family name by its length; the longest and the shortest must be equal."""
+    return 0 if len(word) > LONGEST or len(word) < 4 else 2 if len(word) >= 8 else 1
 
 
 def initials(word: str) -> str:

@@ -43,15 +43,12 @@ def same_company(a: str | None, b: str | None) -> bool | None:
     return a == b or (min(len(a), len(b)) >= 5 and distance(a, b, 2) <= 2) or (min(len(a), len(b)) >= 6 and (a.startswith(b) or b.startswith(a)))
 
 
-# Fixed value: hosts of personal mail, which say nothing about a company, end in one of these words.
-PERSONAL = re.compile(r"(mail|post|web|box|firm)[.]")
-
-
 def domain_core(email: str | None) -> str | None:
+    """The name of a mail host under its top level domain; whether it is a company's is for the caller to find out."""
     if not email or "@" not in email:
         return None
-    host = email.rsplit("@", 1)[1]
-    return None if PERSONAL.search(host) else host.split(".")[-2] if host.count(".") else None
+    parts = email.rsplit("@", 1)[1].split(".")
+    return parts[-2] if len(parts) > 1 else None
 
 
 #: SQL of the mark that ends a person's handle or profile address (name_mark or name_mark_7), or null.
