@@ -203,12 +203,6 @@ def radius(word: str) -> int:
     return 0 if len(word) > LONGEST or len(word) < 4 else 2 if len(word) >= 8 else 1
 
 
-def initials(word: str) -> str:
-    """Letters of which two given names that agree have one in common: the first two of the word and the first of the forms it may
-    stand for. One typing error leaves one of the first two letters in place."""
-    return "".join(sorted({*word[:2], *(f[0] for f in _SHORT.get(word, ())), *(x[0] for x in NICKNAMES.get(word, "").split())}))
-
-
 def agreement(org: bool, words: list[str], rest: list[str], c_org: bool, c_words: list[str]) -> float:
     """Score in 0..1 of a staged name and a golden one whose family parts are near: org and words of each; rest: the staged words not
     used by the family part."""

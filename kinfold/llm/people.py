@@ -6,21 +6,17 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import keys as K
 from kinfold.llm import metric
-from kinfold.llm.names import KIN, LEGAL_FORMS, Name, agreement, distance, folded, initials
+from kinfold.llm.names import KIN, LEGAL_FORMS, LONGEST, Name, folded, full_forms, short_forms
 from kinfold.operators.skew import lookup_join
 from kinfold.session import cut
 
-#: Contacts of one name that a row is compared with one by one; beyond, those equal in all compared attributes are compared once.
-#: Steers the work, not the result.
-NAMESAKES = 20
-
-
 @lru_cache(65536)
 def parsed(text: str) -> Name:
     return Name(text)
@@ -35,14 +31,6 @@ def company_core(text: str | None) -> str | None:
     return words[0] if words else None
 
 
-def same_company(a: str | None, b: str | None) -> bool | None:
-    """None where a side is blank."""
-    a, b = company_core(a), company_core(b)
-    if not a or not b:
-        return None
-    return a == b or (min(len(a), len(b)) >= 5 and distance(a, b, 2) <= 2) or (min(len(a), len(b)) >= 6 and (a.startswith(b) or b.startswith(a)))
-
-
 def domain_core(email: str | None) -> str | None:
     """The name of a mail host under its top level domain; whether it is a company's is for the caller to find out."""
     if not email or "@" not in email:
@@ -51,123 +39,189 @@ def domain_core(email: str | None) -> str | None:
     return parts[-2] if len(parts) > 1 else None
 
 
-#: SQL of the mark that ends a person's handle or profile address (name_mark or name_mark_7), or null.
-def mark_sql(expr: str) -> str:
-    return f"nullif(regexp_extract({expr}, r'[-_]([a-z0-9]{{3,4}})(?:[-_][0-9]+)?$', 1), '')"
+def _given_entries(name: Name, rest: list[str]) -> list[tuple[str, str]]:
+    """(given name, kind) by which a staged name may agree with a golden given name: written-out words, or the first initial where
+    none is written out; `+` joins two words, `-` takes back a letter that slipped over the space."""
+    whole = [x for x in rest if len(x) > 1]
+    out = [(x, "") for x in whole or rest[:1]] + [(x + y, "+") for x, y in zip(whole, whole[1:])]
+    return out + ([(rest[0][:-1], "-")] if rest and 4 < len(rest[0]) <= LONGEST else [])
 
 
 def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(t, w, " ".join(rest), n.org is not None, " ".join(n.words), "*" if n.org or not rest else "".join(map(initials, rest))) for t in pdf["name"] for n in (Name(t),) for w, rest in n.points()]
-        yield pd.DataFrame(rows, columns=["name", "word", "rest", "org", "words", "letters"])
+        rows = []
+        for t in pdf["name"]:
+            n = Name(t)
+            for w, rest in n.points():
+                if n.org or not rest:
+                    rows.append((t, w, "*", "" if n.org else "?", None, None))
+                else:
+                    rows += [(t, w, g, kind, sorted(full_forms(g)) or None, short_forms(g) or None) for g, kind in _given_entries(n, rest)]
+                    if rest == n.words[1:] and len(rest) <= 2:
+                        rows.append((t, w, rest[0][0], "@" + n.words[0], None, None))
+        yield pd.DataFrame(rows, columns=["name", "word", "given", "kind", "full", "short"])
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(t, w, n.org is not None, " ".join(n.words), initials(n.words[0]) + (initials(n.words[1]) + "*" if n.org and len(n.words) > 1 else "*" if n.org else "")) for t in pdf["name"] for n in (Name(t),) for w in n.keys() if w]
-        yield pd.DataFrame(rows, columns=["name", "word", "c_org", "c_words", "c_letters"])
-
-
-def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for s, org, words, rest, q, f, gap, c, c_org, c_words in zip(*(pdf[k] for k in ("sname", "org", "words", "rest", "q", "f", "gap", "cname", "c_org", "c_words"))):
-            score = agreement(org, words.split(), rest.split(), c_org, c_words.split())
-            if score > 0:
-                out.append((s, c, score, gap - 1 if gap == 2 and sorted(q) == sorted(f) else gap))
-        yield pd.DataFrame(out, columns=["sname", "cname", "given", "gap"])
+        rows = []
+        for t in pdf["name"]:
+            n = Name(t)
+            given = ("&" + "".join(w[0] for w in n.words[1:2]) if n.org else n.words[0]) if n.words else ""
+            rows += [(t, w, given, (sorted(full_forms(given)) or None) if not n.org else None, (short_forms(given) or None) if not n.org else n.words[1:]) for w in n.keys() if w]
+        yield pd.DataFrame(rows, columns=["name", "word", "c_given", "c_full", "c_short"])
+
+
+_POINTS = "name string, word string, given string, kind string, full array<string>, short array<string>"
+_KEYS = "name string, word string, c_given string, c_full array<string>, c_short array<string>"
+
+
+def _near(a: str, b: str, most: int) -> str:
+    return f"levenshtein({a}, {b}, {most}) between 0 and {most}"
+
+
+#: SQL of names.same_given over (given, full, short) and (c_given, c_full, c_short): the forms a word may stand for, and those that
+#: may stand for it.
+SAME_GIVEN = f"""case when given = c_given then 1.0
+ when length(given) = 1 or length(c_given) = 1 then if(substring(given, 1, 1) = substring(c_given, 1, 1), 0.5, 0.0)
+ when greatest(length(given), length(c_given)) > {LONGEST} then 0.0
+ when coalesce(array_contains(full, c_given), false) or coalesce(array_contains(c_full, given), false) or coalesce(arrays_overlap(full, c_full), false) then 0.9
+ when concat(given, 'a') = c_given or concat(c_given, 'a') = given then {KIN}
+ when {_near('given', 'c_given', 1)} then 0.8
+ when least(length(given), length(c_given)) > 3 and {_near('given', 'c_given', 2)} and (least(length(given), length(c_given)) >= 6 or array_sort(split(given, '')) = array_sort(split(c_given, ''))) then 0.8
+ when coalesce(exists(full, x -> {_near('x', 'c_given', 1)}), false) or coalesce(exists(c_full, x -> {_near('x', 'given', 1)}), false) then 0.7
+ when (length(given) > 3 and coalesce(exists(c_short, x -> {_near('x', 'given', 1)}), false)) or (length(c_given) > 3 and coalesce(exists(short, x -> {_near('x', 'c_given', 1)}), false)) then 0.7
+ else 0.0 end"""
+#: SQL of names.agreement for one given name of a staged name.
+AGREEMENT = f"""case when c_given like '&%' then case when kind = '' and given = '*' or kind = '?' then 1.0
+   when kind like '@%' and given = substring(c_given, 2, 1) and not exists(c_short, x -> x = substring(kind, 2)) then 0.6 else 0.0 end
+ when given = '*' or kind like '@%' then 0.0
+ when kind = '-' then if(length(c_given) > 4 and {_near('given', 'c_given', 1)}, 0.7, 0.0)
+ else ({SAME_GIVEN}) - if(kind = '+', 0.05, 0.0) end"""
 
 
 def name_pairs(staged: DataFrame, golden: DataFrame) -> DataFrame:
     """(sname, cname, given, gap) of distinct spellings that can mean the same one; both frames have distinct texts `name`.
 
-    gap counts a swap of letters as one edit; given is the agreement of the given names."""
-    points, filed = cut(staged.mapInPandas(_points, "name string, word string, rest string, org boolean, words string, letters string")), cut(golden.mapInPandas(_keys, "name string, word string, c_org boolean, c_words string, c_letters string"))
+    gap counts a swap of letters as one edit; given is the agreement of the given names. A letter that slipped speaks only where
+    nothing else does."""
+    points, filed = cut(staged.mapInPandas(_points, _POINTS)), cut(golden.mapInPandas(_keys, _KEYS))
     near = metric.radius_join(filed.select("word").distinct(), points.select("word").distinct())
-    # names without a letter in common among the initials cannot agree: judged first on all letters filed under a string, then per name
-    common = "length(translate(letters, {0}, '')) < length(letters)"
-    filed_letters = filed.groupBy(F.col("word").alias("f")).agg(F.array_join(F.array_distinct(F.flatten(F.collect_set(F.split("c_letters", "")))), "").alias("f_letters"))
-    met = points.withColumnsRenamed({"name": "sname", "word": "q"}).join(near.join(filed_letters, "f"), "q").filter(common.format("f_letters")).drop("f_letters")
-    joined = met.join(filed.withColumnsRenamed({"name": "cname", "word": "f"}), "f").filter(common.format("c_letters"))
-    agreed = joined.select("sname", "org", "words", "rest", "q", "f", "gap", "cname", "c_org", "c_words").mapInPandas(_agree, "sname string, cname string, given double, gap int")
-    return agreed.groupBy("sname", "cname").agg(F.max(F.struct(F.col("given"), (-F.col("gap")).alias("near"))).alias("b")).select("sname", "cname", "b.given", (-F.col("b.near")).alias("gap"))
+    filed, points = filed.withColumnsRenamed({"name": "cname", "word": "f"}), points.withColumnsRenamed({"name": "sname", "word": "q"})
+    agreed = points.join(near, "q").join(filed, "f").withColumn("given", F.expr(AGREEMENT)).filter("given > 0")
+    gap = F.expr("case when gap = 2 and length(q) = length(f) and array_sort(split(q, '')) = array_sort(split(f, '')) then 1 else gap end")
+    best = agreed.groupBy("sname", "cname").agg(F.max(F.struct((F.col("kind") != "-").alias("plain"), F.col("given").cast("double").alias("given"), (-gap).alias("near"))).alias("b"))
+    return best.select("sname", "cname", "b.given", (-F.col("b.near")).alias("gap"))
 
 
 def row_keys(df: DataFrame, row_id: str, columns: dict[str, str]) -> DataFrame:
-    """(row_id, key) of canonical keys and marks; shared mailboxes give none. columns: key kind -> column."""
+    """(row_id, key) of canonical keys; shared mailboxes give none. columns: key kind -> column."""
     keyed = df.select(F.col(row_id).alias("row_id"), *[F.expr(K.KEY_BUILDERS[kind](column)).alias("k_" + kind) for kind, column in columns.items()])
-    parts = []
-    for kind in columns:
-        k = f"case when not {K.is_role_email('k_email')} then k_email end" if kind == "email" else "k_" + kind
-        parts.append(F.expr(f"concat('{kind}:', {k})"))
-        if kind in ("linkedin_url", "handle"):
-            parts.append(F.expr(f"concat('mark:', {mark_sql('k_' + kind)})"))
-    return keyed.select("row_id", F.explode(F.array(*parts)).alias("key")).filter("key is not null").distinct()
+    k = {kind: f"case when not {K.is_role_email('k_email')} then k_email end" if kind == "email" else "k_" + kind for kind in columns}
+    return keyed.select("row_id", F.explode(F.array(*[F.expr(f"concat('{kind}:', {e})") for kind, e in k.items()])).alias("key")).filter("key is not null").distinct()
 
 
 KEY_COLUMNS = {"email": "email", "phone": "phone", "linkedin_url": "linkedin_url", "handle": "handle"}
 
 
-def pair_logit(given: float, gap: int, company: bool | None, place: bool | None, domain: bool | None, shared: bool, mark_conflict: bool) -> float:
-    """Evidence that two records mean one person, as log odds."""
-    score = {1.0: 2.5, 0.95: 2.3, 0.9: 2.0, 0.85: 1.8, 0.8: 1.5, 0.75: 1.2, 0.7: 1.0, 0.65: 1.0, 0.6: 0.8, 0.5: 0.3}.get(round(given, 2), 0.0)
-    if given <= KIN:
-        score = -4.0
-    score += (0.0, -0.7, -2.7)[min(gap, 2)]
-    score += 0.0 if company is None else 2.5 if company else -0.8
-    score += 0.8 if place else 0.0
-    score += 2.0 if domain else 0.0
-    return score + (8.0 if shared else 0.0) - (8.0 if mark_conflict and not shared else 0.0)
+#: Evidence that a pair of names means one person: the terms of a log-odds score and their weights before any labelled pair is seen.
+EVIDENCE = {
+    "1": -1.9, "given": 4.4, "cast(given <= 0.15 as int)": -5.0, "cast(gap = 1 as int)": -0.7, "cast(gap = 2 as int)": -2.7, "cast(coalesce(company_same, false) as int)": 2.5, "cast(not coalesce(company_same, true) as int)": -0.8,
+    "cast(coalesce(place_same, false) as int)": 0.8, "cast(coalesce(domain_same, false) as int)": 2.0, "cast(conflict as int)": -2.0,
+}
+#: What a key adds that only this contact holds.
+SHARED = 8.0
+#: Labelled pairs the fit may use, and how many of them the weights above count for.
+FIT_PAIRS, PRIOR_PAIRS = 20_000, 50
 
 
-def _place(a: str | None, b: str | None) -> bool | None:
-    if not a or not b:
-        return None
-    x, y = (re.findall("[a-z]+", folded(v).partition(",")[0]) for v in (a, b))
-    return bool(x) and x[-1:] == y[-1:]
+def fit_evidence(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Logistic regression by Newton steps, held to the prior weights as strongly as PRIOR_PAIRS undecided pairs would."""
+    w = prior.copy()
+    hold = np.eye(len(w)) * PRIOR_PAIRS / 4
 
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (w - prior) @ hold @ (w - prior) / 2)
 
-def _weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            domain = domain_core(r.email)
-            agrees = domain is not None and (distance(domain, company_core(r.c_company) or "", 1) <= 1 or domain == (r.c_domain or "").split(".")[0])
-            out.append(pair_logit(r.given, r.gap, same_company(r.company, r.c_company), _place(r.location, r.c_location), agrees, bool(r.shared), bool(r.has_mark) and bool(r.c_has_mark)))
-        yield pd.DataFrame({"row_id": pdf["row_id"], "contact_id": pdf["contact_id"], "same": pdf["same"], "n": pdf["n"], "logit": out})
+    now = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (p - y) + hold @ (w - prior))
+        # a full step may overshoot: halve it until the loss falls
+        while (then := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if then >= now:
+            break
+        w, now = w - step, then
+    return w
+
+
+def place_core(text: str | None) -> str | None:
+    """Last word before the first comma of a folded place."""
+    words = re.findall("[a-z]+", folded(text).partition(",")[0]) if text and text.strip().lower() not in K.PLACEHOLDERS else []
+    return words[-1] if words else None
+
+
+def _read(*fields: str):
+    """Cores of company, place and mail domain, once per row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f in fields:
+                core = {"company": company_core, "place": place_core, "domain": domain_core}[f.rsplit("_", 1)[-1]]
+                pdf[f] = [core(v) if isinstance(v, str) else None for v in pdf[f]]
+            yield pdf
+
+    return run
+
+
+def _company(a: str, b: str) -> str:
+    return f"({a} = {b} or (least(length({a}), length({b})) >= 5 and {_near(a, b, 2)}) or (least(length({a}), length({b})) >= 6 and (startswith({a}, {b}) or startswith({b}, {a}))))"
 
 
 def link_variants(staging: DataFrame, contacts: DataFrame, identities: DataFrame, use_keys: bool = True, least: float = 0.0, margin: float = 0.5) -> DataFrame:
     """(staging_id, contact_id, logit, same): the contact each named staging row means, where one is clear; same: spelled alike.
 
     Blank names link to nothing; equal spellings are linked too (the caller may leave them out). A row that two contacts fit equally
-    well is left open. Repeated rows and names are compared once per distinct spelling. Company, place, mail domain, shared keys and
-    marks are evidence on a candidate that the name join found, never a path beside it.
+    well is left open. Repeated rows and names are compared once per distinct spelling. Company, place, mail domain and keys are
+    evidence on a candidate that the name join found, never a path beside it; their weights are fitted on the candidates of rows whose
+    keys lead to one contact. Contacts of one name that are equal in all that is compared stand for each other, and tie, unless a key
+    leads to one of them.
     """
     named = staging.filter(f"not {K.is_blank('full_name')}")
-    golden = contacts.filter(f"not {K.is_blank('full_name')}").select(F.col("id").alias("contact_id"), F.col("full_name").alias("cname"), F.col("current_company").alias("c_company"), F.col("location").alias("c_location"), F.col("company_domain").alias("c_domain"))
+    golden = contacts.filter(f"not {K.is_blank('full_name')}").select(F.col("id").alias("contact_id"), F.col("full_name").alias("cname"), F.col("current_company").alias("c_company"), F.col("location").alias("c_place"), F.split_part("company_domain", F.lit("."), F.lit(1)).alias("c_domain"))
+    golden = golden.mapInPandas(_read("c_company", "c_place"), golden.schema)
     pairs = cut(name_pairs(named.select(F.col("full_name").alias("name")).distinct(), golden.select(F.col("cname").alias("name")).distinct()))
     # keys of contacts; a key that several contacts hold singles out none
     held = cut(row_keys(identities.select(F.col("contact_id").alias("id"), *KEY_COLUMNS), "id", KEY_COLUMNS).withColumnRenamed("row_id", "contact_id"))
     owners = held.groupBy("key").agg(F.min("contact_id").alias("contact_id"), F.countDistinct("contact_id").alias("n")).filter("n = 1").drop("n")
-    marked = held.filter("key like 'mark:%'").select("contact_id").distinct().withColumn("c_has_mark", F.lit(True))
-    mine = cut(row_keys(named, "id", KEY_COLUMNS))
-    has_mark = mine.filter("key like 'mark:%'").select("row_id").distinct().withColumn("has_mark", F.lit(True))
-    shared = lookup_join(mine, owners, "key").filter("contact_id is not null").select("row_id", "contact_id").distinct().withColumn("shared", F.lit(use_keys))
-    rows = named.select(F.col("id").alias("row_id"), F.col("full_name").alias("sname"), "company", "location", F.expr(K.email_key("email")).alias("email"))
+    addressed = held.filter("key like 'linkedin_url:%'").select("contact_id").distinct().withColumn("c_url", F.lit(True))
+    mine = row_keys(named, "id", KEY_COLUMNS)
+    led = lookup_join(cut(mine), owners, "key").filter("contact_id is not null").select("row_id", "contact_id").distinct()
+    led = cut(led.withColumn("alone", F.lit(True)))
+    email = K.email_key("email")
+    rows = named.select(F.col("id").alias("row_id"), F.col("full_name").alias("sname"), "company", F.col("location").alias("place"), F.expr(email).alias("domain"), (F.expr(K.linkedin_key("linkedin_url")).isNotNull()).alias("url"))
+    rows = rows.mapInPandas(_read("company", "place", "domain"), rows.schema)
     told = rows.join(pairs, "sname")
-    crowd = golden.groupBy("cname").agg(F.count("*").alias("n")).filter(F.col("n") > NAMESAKES).select("cname")
-    if crowd.limit(1).count():
-        # namesakes that nothing compared tells apart stand for each other, and tie; one that a key leads to stands for itself too
-        near = told.join(golden.join(crowd, "cname", "left_anti"), "cname").withColumn("n", F.lit(1).cast("long"))
-        packed = told.join(crowd, "cname", "left_semi")
-        kinds = golden.join(crowd, "cname", "left_semi").join(marked, "contact_id", "left").groupBy("cname", "c_company", "c_location", "c_domain", "c_has_mark").agg(F.min("contact_id").alias("contact_id"), F.count("*").alias("n")).drop("c_has_mark")
-        led = packed.join(shared.select("row_id", "contact_id"), "row_id").join(golden, ["contact_id", "cname"]).withColumn("n", F.lit(1).cast("long"))
-        both = near.unionByName(packed.join(kinds, "cname").unionByName(led).dropDuplicates(["row_id", "contact_id", "n"]))
-    else:
-        both = told.join(golden, "cname").withColumn("n", F.lit(1).cast("long"))
-    full = both.join(shared, ["row_id", "contact_id"], "left").join(has_mark, "row_id", "left").join(marked, "contact_id", "left").withColumn("same", F.col("sname") == F.col("cname"))
-    weighed = full.select("row_id", "contact_id", "same", "given", "gap", "company", "location", "email", "c_company", "c_location", "c_domain", "n", (F.coalesce("shared", F.lit(False)) & (F.col("n") == 1)).alias("shared"), F.coalesce("has_mark", F.lit(False)).alias("has_mark"), F.coalesce("c_has_mark", F.lit(False)).alias("c_has_mark")).mapInPandas(_weigh, "row_id string, contact_id string, same boolean, n long, logit double")
+    kinds = golden.join(addressed, "contact_id", "left").groupBy("cname", "c_company", "c_place", "c_domain", "c_url").agg(F.min("contact_id").alias("contact_id"), F.count("*").alias("n"))
+    kinds = cut(kinds)
+    crowded = kinds.filter("n > 1").select("cname").distinct()
+    both = told.join(kinds, "cname")
+    own = led.join(golden.join(crowded, "cname"), "contact_id").join(addressed, "contact_id", "left").select("row_id", "cname", "c_company", "c_place", "c_domain", "c_url", "contact_id", F.lit(1).cast("long").alias("n"))
+    both = both.unionByName(told.join(own, ["row_id", "cname"])).dropDuplicates(["row_id", "contact_id", "n"])
+    full = both.join(led, ["row_id", "contact_id"], "left").withColumn("shared", F.coalesce("alone", F.lit(False)) & (F.col("n") == 1)).drop("alone")
+    flags = {
+        "company_same": F.expr(_company("company", "c_company")), "place_same": F.expr("place = c_place"), "domain_same": F.expr(f"{_near('domain', 'c_company', 1)} or domain = c_domain"),
+        "conflict": F.col("url") & F.coalesce("c_url", F.lit(False)) & ~F.col("shared"), "same": F.col("sname") == F.col("cname"),
+    }
+    weighed = cut(full.withColumns(flags).select("row_id", "contact_id", "same", "n", "shared", *[F.expr(e).cast("double").alias(f"e{i}") for i, e in enumerate(EVIDENCE)]))
+    prior = np.array(list(EVIDENCE.values()))
+    one = led.groupBy("row_id").agg(F.min("contact_id").alias("owner"), F.count("*").alias("k")).filter("k = 1").drop("k")
+    sample = weighed.filter("n = 1").join(one, "row_id").orderBy(F.xxhash64("row_id", "contact_id")).limit(FIT_PAIRS).select(*[f"e{i}" for i in range(len(prior))], (F.col("contact_id") == F.col("owner")).cast("double").alias("y")).collect()
+    known = np.array(sample, dtype=float).reshape(-1, len(prior) + 1)
+    weights = fit_evidence(known[:, :-1], known[:, -1], prior)
+    logit = sum((F.col(f"e{i}") * float(w) for i, w in enumerate(weights)), F.lit(0.0)) + F.when(F.col("shared") & F.lit(use_keys), SHARED).otherwise(0.0)
     order = Window.partitionBy("row_id").orderBy(F.desc("logit"), "contact_id")
-    ranked = weighed.filter(F.col("logit") > least).withColumns({"k": F.row_number().over(order), "next": F.lead("logit").over(order)})
+    ranked = weighed.withColumn("logit", logit).filter(F.col("logit") > least).withColumns({"k": F.row_number().over(order), "next": F.lead("logit").over(order)})
     return ranked.filter(f"k = 1 and n = 1 and (next is null or logit - next >= {margin})").select(F.col("row_id").alias("staging_id"), "contact_id", "logit", "same")
