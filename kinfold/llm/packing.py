@@ -2,9 +2,11 @@
 
 Lengths are whole numbers up to the capacity, so however many items there are, the program has at most `capacity` rows and is solved
 on the driver: multiplicative weights price the lengths, a knapsack dynamic program finds the best configuration at these prices,
-and the averaged configurations cover the histogram with nearly the fewest containers. They are rounded down, the rest of the
-histogram is packed best fit decreasing, and the plan of (configuration, number of containers) goes to all workers as a table
-bounded by the capacity and the number of rounds. Items take their places by their rank within their length.
+and the averaged configurations cover the histogram with nearly the fewest containers. As usual for this program, the histogram is
+grouped linearly before it is solved: longer lengths form classes of equal counts, each represented by its longest length, and short
+lengths fill the room that is left. Configurations are rounded down and filled with the exact lengths of their classes, the program is
+solved again on what is left, and the last few items go best fit. The plan of (configuration, number of containers) goes to all
+workers as a table bounded by the capacity and the number of rounds. Items take their places by their rank within their length.
 """
 
 from __future__ import annotations
@@ -211,12 +213,8 @@ def pack_rest(rest: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
 
 
 def plan_containers(histogram: dict[int, int], capacity: int, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
-    """[(contents, whole containers)] that place every item exactly once: the rounded program, or plain best fit decreasing where
-    that needs fewer containers by more than a thousandth."""
-    if not histogram:
-        return []
-    planned, plain = round_program(histogram, capacity, rounds), pack_rest(Counter(histogram), capacity)
-    return planned if sum(t for _, t in planned) <= 1.001 * sum(t for _, t in plain) else plain
+    """[(contents, whole containers)] that place every item exactly once, by the rounded program."""
+    return round_program(histogram, capacity, rounds) if histogram else []
 
 
 def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[list[int], list[tuple[int, int]]]]:
@@ -264,5 +262,6 @@ def fill_containers(items: DataFrame, item_id: str, size: str, capacity: int, ro
     plan = plan_containers(histogram, capacity, rounds)
     kind = items.schema[item_id].dataType.simpleString()
     within = chunks.withColumn("seq", F.row_number().over(Window.partitionBy("part", "size").orderBy("item_id", "chunk")) - 1)
-    ranked = within.join(counts.select("part", "size", "before"), ["part", "size"]).select("item_id", F.col("chunk").cast("int").alias("chunk"), "size", (F.col("seq") + F.col("before")).alias("rank"))
+    # counts per part and length grow with the parts: joined by key, where the window left the rows, never broadcast
+    ranked = within.join(counts.select("part", "size", "before").hint("merge"), ["part", "size"]).select("item_id", F.col("chunk").cast("int").alias("chunk"), "size", (F.col("seq") + F.col("before")).alias("rank"))
     return ranked.mapInPandas(_assign(plan), f"item_id {kind}, chunk int, size long, container_id long")

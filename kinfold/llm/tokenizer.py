@@ -172,7 +172,8 @@ def encode_column(text: Column | str, path: str | None = None) -> Column:
 
 
 def size_column(text: Column | str, path: str | None = None) -> Column:
-    """Number of tokens; 0 for empty text, null for null. Sends back one int a row, not the ids."""
+    """Number of tokens; 0 for empty text, null for null. Sends back one int a row, not the ids. Marked as not deterministic, which it
+    is, so that a filter on it does not encode every text a second time."""
     where = tokenizer_path(path)
 
     @F.pandas_udf("int")
@@ -181,7 +182,7 @@ def size_column(text: Column | str, path: str | None = None) -> Column:
         for s in batches:
             yield pd.Series([None if x is None else len(t.encode(x)) for x in s], index=s.index, dtype="Int32")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def decode_column(ids: Column | str, path: str | None = None) -> Column:
