@@ -219,9 +219,10 @@ def agreement(org: bool, words: list[str], rest: list[str], c_org: bool, c_words
     whole = [x for x in rest if len(x) > 1]
     # an initial speaks only where no given name is written out
     for i, x in enumerate(whole or rest[:1]):
-        best = max(best, same_given(x, given))
+        score = same_given(x, given)
+        if not score and x is rest[0] and 4 < len(x) <= LONGEST and len(given) > 4 and distance(x[:-1], given, 1) <= 1:
+            score = 0.7  # the space between the words slipped by a letter
+        best = max(best, score)
         if i + 1 < len(whole):
             best = max(best, same_given(x + whole[i + 1], given) - 0.05)
-    if not best and rest and len(rest[0]) > 4 and len(given) > 4 and distance(rest[0][:-1], given, 1) <= 1:
-        best = max(best, 0.7)  # the space between the words slipped by a letter
     return best

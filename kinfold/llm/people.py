@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import keys as K
 from kinfold.llm import metric
 from kinfold.llm.names import KIN, LEGAL_FORMS, LONGEST, Name, folded, full_forms, short_forms
-from kinfold.operators.skew import lookup_join
-from kinfold.session import cut
+from kinfold.session import cut, cut_counted
 
 @lru_cache(65536)
 def parsed(text: str) -> Name:
@@ -39,26 +38,24 @@ def domain_core(email: str | None) -> str | None:
     return parts[-2] if len(parts) > 1 else None
 
 
-def _given_entries(name: Name, rest: list[str]) -> list[tuple[str, str]]:
-    """(given name, kind) by which a staged name may agree with a golden given name: written-out words, or the first initial where
-    none is written out; `+` joins two words, `-` takes back a letter that slipped over the space."""
-    whole = [x for x in rest if len(x) > 1]
-    out = [(x, "") for x in whole or rest[:1]] + [(x + y, "+") for x, y in zip(whole, whole[1:])]
-    return out + ([(rest[0][:-1], "-")] if rest and 4 < len(rest[0]) <= LONGEST else [])
-
-
 def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per word to look for and given name it leaves: the written-out words, or the first initial where none is written out.
+    kind: `&` an organisation, `?` no word left, `+` two words joined, else 1 for the first word left, 2 where the name is one word and
+    at most two more, 0 for the others."""
     for pdf in batches:
         rows = []
         for t in pdf["name"]:
             n = Name(t)
             for w, rest in n.points():
                 if n.org or not rest:
-                    rows.append((t, w, "*", "" if n.org else "?", None, None))
-                else:
-                    rows += [(t, w, g, kind, sorted(full_forms(g)) or None, short_forms(g) or None) for g, kind in _given_entries(n, rest)]
-                    if rest == n.words[1:] and len(rest) <= 2:
-                        rows.append((t, w, rest[0][0], "@" + n.words[0], None, None))
+                    rows.append((t, w, "*", "&" if n.org else "?", None, None))
+                    continue
+                whole = [x for x in rest if len(x) > 1]
+                first = "2" if rest == n.words[1:] and len(rest) <= 2 and w == n.words[0] else "1"
+                entries = [(x, first if x is rest[0] else "0") for x in whole or rest[:1]] + [(x + y, "+") for x, y in zip(whole, whole[1:])]
+                if whole and first == "2" and whole[0] is not rest[0]:
+                    entries.append((rest[0], "3"))
+                rows += [(t, w, g, kind, sorted(full_forms(g)) or None, short_forms(g) or None) for g, kind in entries]
         yield pd.DataFrame(rows, columns=["name", "word", "given", "kind", "full", "short"])
 
 
@@ -92,25 +89,26 @@ SAME_GIVEN = f"""case when given = c_given then 1.0
  when coalesce(exists(full, x -> {_near('x', 'c_given', 1)}), false) or coalesce(exists(c_full, x -> {_near('x', 'given', 1)}), false) then 0.7
  when (length(given) > 3 and coalesce(exists(c_short, x -> {_near('x', 'given', 1)}), false)) or (length(c_given) > 3 and coalesce(exists(short, x -> {_near('x', 'c_given', 1)}), false)) then 0.7
  else 0.0 end"""
-#: SQL of names.agreement for one given name of a staged name.
-AGREEMENT = f"""case when c_given like '&%' then case when kind = '' and given = '*' or kind = '?' then 1.0
-   when kind like '@%' and given = substring(c_given, 2, 1) and not exists(c_short, x -> x = substring(kind, 2)) then 0.6 else 0.0 end
- when given = '*' or kind like '@%' then 0.0
- when kind = '-' then if(length(c_given) > 4 and {_near('given', 'c_given', 1)}, 0.7, 0.0)
- else ({SAME_GIVEN}) - if(kind = '+', 0.05, 0.0) end"""
+#: SQL of names.agreement for one given name of a staged name that was looked for by the word q.
+AGREEMENT = f"""case when c_given like '&%' then case when kind in ('&', '?') then 1.0
+   when kind in ('2', '3') and substring(given, 1, 1) = substring(c_given, 2, 1) and not exists(c_short, x -> x = q) then 0.6 else 0.0 end
+ when kind in ('&', '?', '3') then 0.0
+ else get(transform(array({SAME_GIVEN}), s -> case when kind = '+' then s - 0.05
+   when s = 0 and kind in ('1', '2') and length(given) between 5 and {LONGEST} and length(c_given) > 4 and levenshtein(substring(given, 1, length(given) - 1), c_given, 1) between 0 and 1 then 0.7 else s end), 0) end"""
 
 
 def name_pairs(staged: DataFrame, golden: DataFrame) -> DataFrame:
     """(sname, cname, given, gap) of distinct spellings that can mean the same one; both frames have distinct texts `name`.
 
-    gap counts a swap of letters as one edit; given is the agreement of the given names. A letter that slipped speaks only where
-    nothing else does."""
+    gap counts a swap of letters as one edit; given is the agreement of the given names. The filed side is joined to the near words
+    first: it is the smaller one, so that what meets the many staged words is judged at once and never shuffled unjudged."""
     points, filed = cut(staged.mapInPandas(_points, _POINTS)), cut(golden.mapInPandas(_keys, _KEYS))
     near = metric.radius_join(filed.select("word").distinct(), points.select("word").distinct())
     filed, points = filed.withColumnsRenamed({"name": "cname", "word": "f"}), points.withColumnsRenamed({"name": "sname", "word": "q"})
-    agreed = points.join(near, "q").join(filed, "f").withColumn("given", F.expr(AGREEMENT)).filter("given > 0")
     gap = F.expr("case when gap = 2 and length(q) = length(f) and array_sort(split(q, '')) = array_sort(split(f, '')) then 1 else gap end")
-    best = agreed.groupBy("sname", "cname").agg(F.max(F.struct((F.col("kind") != "-").alias("plain"), F.col("given").cast("double").alias("given"), (-gap).alias("near"))).alias("b"))
+    met = near.withColumn("gap", gap).join(filed, "f").drop("f")
+    agreed = points.join(met, "q").select("sname", "cname", F.expr(AGREEMENT).cast("double").alias("given"), "gap").filter("given > 0")
+    best = agreed.groupBy("sname", "cname").agg(F.max(F.struct("given", (-F.col("gap")).alias("near"))).alias("b"))
     return best.select("sname", "cname", "b.given", (-F.col("b.near")).alias("gap"))
 
 
@@ -131,23 +129,24 @@ EVIDENCE = {
 }
 #: What a key adds that only this contact holds.
 SHARED = 8.0
-#: Labelled pairs the fit may use, and how many of them the weights above count for.
-FIT_PAIRS, PRIOR_PAIRS = 20_000, 50
+#: Labelled pairs the weights above count for.
+PRIOR_PAIRS = 50
 
 
-def fit_evidence(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Logistic regression by Newton steps, held to the prior weights as strongly as PRIOR_PAIRS undecided pairs would."""
+def fit_evidence(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Logistic regression by Newton steps over rows that occur n times, held to the prior weights as strongly as PRIOR_PAIRS undecided
+    pairs would."""
     w = prior.copy()
     hold = np.eye(len(w)) * PRIOR_PAIRS / 4
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + (w - prior) @ hold @ (w - prior) / 2)
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + (w - prior) @ hold @ (w - prior) / 2)
 
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (p - y) + hold @ (w - prior))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + hold, x.T @ (n * (p - y)) + hold @ (w - prior))
         # a full step may overshoot: halve it until the loss falls
         while (then := loss(w - step)) > now and np.abs(step).max() > 1e-9:
             step = step / 2
@@ -191,25 +190,23 @@ def link_variants(staging: DataFrame, contacts: DataFrame, identities: DataFrame
     """
     named = staging.filter(f"not {K.is_blank('full_name')}")
     golden = contacts.filter(f"not {K.is_blank('full_name')}").select(F.col("id").alias("contact_id"), F.col("full_name").alias("cname"), F.col("current_company").alias("c_company"), F.col("location").alias("c_place"), F.split_part("company_domain", F.lit("."), F.lit(1)).alias("c_domain"))
-    golden = golden.mapInPandas(_read("c_company", "c_place"), golden.schema)
     pairs = cut(name_pairs(named.select(F.col("full_name").alias("name")).distinct(), golden.select(F.col("cname").alias("name")).distinct()))
     # keys of contacts; a key that several contacts hold singles out none
     held = cut(row_keys(identities.select(F.col("contact_id").alias("id"), *KEY_COLUMNS), "id", KEY_COLUMNS).withColumnRenamed("row_id", "contact_id"))
     owners = held.groupBy("key").agg(F.min("contact_id").alias("contact_id"), F.countDistinct("contact_id").alias("n")).filter("n = 1").drop("n")
     addressed = held.filter("key like 'linkedin_url:%'").select("contact_id").distinct().withColumn("c_url", F.lit(True))
-    mine = row_keys(named, "id", KEY_COLUMNS)
-    led = lookup_join(cut(mine), owners, "key").filter("contact_id is not null").select("row_id", "contact_id").distinct()
-    led = cut(led.withColumn("alone", F.lit(True)))
+    led = cut(row_keys(named, "id", KEY_COLUMNS).join(owners, "key").select("row_id", "contact_id").distinct().withColumn("alone", F.lit(True)))
+    golden = cut(golden.mapInPandas(_read("c_company", "c_place"), golden.schema).join(addressed, "contact_id", "left"))
     email = K.email_key("email")
     rows = named.select(F.col("id").alias("row_id"), F.col("full_name").alias("sname"), "company", F.col("location").alias("place"), F.expr(email).alias("domain"), (F.expr(K.linkedin_key("linkedin_url")).isNotNull()).alias("url"))
     rows = rows.mapInPandas(_read("company", "place", "domain"), rows.schema)
     told = rows.join(pairs, "sname")
-    kinds = golden.join(addressed, "contact_id", "left").groupBy("cname", "c_company", "c_place", "c_domain", "c_url").agg(F.min("contact_id").alias("contact_id"), F.count("*").alias("n"))
-    kinds = cut(kinds)
-    crowded = kinds.filter("n > 1").select("cname").distinct()
+    alike = ["cname", "c_company", "c_place", "c_domain", "c_url"]
+    kinds, crowd = cut_counted(golden.groupBy(*alike).agg(F.min("contact_id").alias("contact_id"), F.count("*").alias("n")), most=F.max("n"))
     both = told.join(kinds, "cname")
-    own = led.join(golden.join(crowded, "cname"), "contact_id").join(addressed, "contact_id", "left").select("row_id", "cname", "c_company", "c_place", "c_domain", "c_url", "contact_id", F.lit(1).cast("long").alias("n"))
-    both = both.unionByName(told.join(own, ["row_id", "cname"])).dropDuplicates(["row_id", "contact_id", "n"])
+    if (crowd["most"] or 0) > 1:
+        own = led.join(golden.join(kinds.filter("n > 1").select("cname").distinct(), "cname"), "contact_id").select("row_id", *alike, "contact_id", F.lit(1).cast("long").alias("n"))
+        both = both.unionByName(told.join(own, ["row_id", "cname"])).dropDuplicates(["row_id", "contact_id", "n"])
     full = both.join(led, ["row_id", "contact_id"], "left").withColumn("shared", F.coalesce("alone", F.lit(False)) & (F.col("n") == 1)).drop("alone")
     flags = {
         "company_same": F.expr(_company("company", "c_company")), "place_same": F.expr("place = c_place"), "domain_same": F.expr(f"{_near('domain', 'c_company', 1)} or domain = c_domain"),
@@ -218,9 +215,10 @@ def link_variants(staging: DataFrame, contacts: DataFrame, identities: DataFrame
     weighed = cut(full.withColumns(flags).select("row_id", "contact_id", "same", "n", "shared", *[F.expr(e).cast("double").alias(f"e{i}") for i, e in enumerate(EVIDENCE)]))
     prior = np.array(list(EVIDENCE.values()))
     one = led.groupBy("row_id").agg(F.min("contact_id").alias("owner"), F.count("*").alias("k")).filter("k = 1").drop("k")
-    sample = weighed.filter("n = 1").join(one, "row_id").orderBy(F.xxhash64("row_id", "contact_id")).limit(FIT_PAIRS).select(*[f"e{i}" for i in range(len(prior))], (F.col("contact_id") == F.col("owner")).cast("double").alias("y")).collect()
-    known = np.array(sample, dtype=float).reshape(-1, len(prior) + 1)
-    weights = fit_evidence(known[:, :-1], known[:, -1], prior)
+    # the evidence takes few values, so that all labelled pairs are some hundred rows with counts
+    seen = weighed.filter("n = 1").join(one, "row_id").groupBy(*[f"e{i}" for i in range(len(prior))], (F.col("contact_id") == F.col("owner")).cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
+    known = np.array(seen.collect(), dtype=float).reshape(-1, len(prior) + 2)
+    weights = fit_evidence(known[:, :-2], known[:, -2], known[:, -1], prior)
     logit = sum((F.col(f"e{i}") * float(w) for i, w in enumerate(weights)), F.lit(0.0)) + F.when(F.col("shared") & F.lit(use_keys), SHARED).otherwise(0.0)
     order = Window.partitionBy("row_id").orderBy(F.desc("logit"), "contact_id")
     ranked = weighed.withColumn("logit", logit).filter(F.col("logit") > least).withColumns({"k": F.row_number().over(order), "next": F.lead("logit").over(order)})
