@@ -36,11 +36,12 @@ GF = ["group_key", "field_name"]
 
 
 def _weighted(values: DataFrame, summary: DataFrame) -> DataFrame:
-    """Values with weights: a value weighs its rows; the newest value, and in staging the newest of the most trusted source, each
-    outweigh all rows of the group together. summary: (group_key, field_name, rows, n_values, newest, best)."""
+    """Values with weights: a value weighs its rows; being the newest adds half of all rows of the group, being the best trusted (in
+    staging the newest of the most trusted source, in the log the most confident) as much. Only a value that is both outweighs any
+    others; a value that is one of them can lose to what most rows say. summary: (group_key, field_name, rows, n_values, newest, best)."""
     keyed = lookup_join(values.select(*GF, "value", "n"), summary.select(*GF, "rows", "newest", "best"), GF, summary.select(*GF, F.col("n_values").alias("_n")))
-    heavy = (F.col("value") == F.col("newest")).cast("int") * 2 + (F.col("value") == F.col("best")).cast("int")
-    return keyed.select(*GF, "value", (F.col("n") + heavy * (F.col("rows") + 1)).cast("double").alias("weight"))
+    praise = (F.col("value") == F.col("newest")).cast("int") + F.coalesce(F.col("value") == F.col("best"), F.lit(False)).cast("int")
+    return keyed.select(*GF, "value", (F.col("n") + praise * (F.col("rows") + 1) / 2).cast("double").alias("weight"))
 
 
 def _staging_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -68,9 +69,9 @@ def _log_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pair = (
         per_value.groupBy(*GF).agg(
             F.max(F.when(used, F.col("last"))).alias("latest"), F.max(F.when(used, F.col("top"))).alias("top"), F.max(F.when(used, F.col("top_low"))).alias("top_low"), F.sum("current").alias("current"), F.max("current_id").alias("current_id"),
-            F.sum(F.when(used, F.col("n"))).alias("rows"), F.count(F.when(used, 1)).alias("n_values"), F.max_by("value", F.when(used, F.col("last"))).alias("newest"),
+            F.sum(F.when(used, F.col("n"))).alias("rows"), F.count(F.when(used, 1)).alias("n_values"), F.max_by("value", F.when(used, F.col("last"))).alias("newest"), F.max_by("value", F.when(used, F.col("top"))).alias("best"),
         ).filter("latest is not null")
-        .select(*GF, "rows", "n_values", "newest", F.col("newest").alias("best"), F.col("latest.id").alias("latest_id"),
+        .select(*GF, "rows", "n_values", "newest", "best", F.col("latest.id").alias("latest_id"),
                 F.expr("top.conf = latest.conf and top.h = xxhash64(latest.id) and top.h = -top_low.h").alias("leads"), F.expr("current = 1 and current_id = latest.id").alias("flagged"))
     )
     return per_value.filter("usable"), pair

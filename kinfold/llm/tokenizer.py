@@ -172,8 +172,8 @@ def encode_column(text: Column | str, path: str | None = None) -> Column:
 
 
 def size_column(text: Column | str, path: str | None = None) -> Column:
-    """Number of tokens; 0 for empty text, null for null. Sends back one int a row, not the ids. Marked as not deterministic, which it
-    is, so that a filter on it does not encode every text a second time."""
+    """Number of tokens; 0 for empty text, null for null. Sends back one int a row, not the ids. Marked as not deterministic, though
+    it is, so that a filter on it does not encode every text a second time."""
     where = tokenizer_path(path)
 
     @F.pandas_udf("int")
