@@ -42,6 +42,8 @@ _TIME = re.compile(
 _TIGHT = re.compile(r"T(?P<h>\d{2})(?P<mi>\d{2})(?P<s>\d{2})?(?:[.,](?P<f>\d+))?(?P<z>Z|[+-]\d{2}:?(?:\d{2})?)?(?:\[(?P<r>[^\]]*)\])?", re.I)
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)?")
 _SPACES = re.compile(r"\s+")
+#: No notation is this long: the longest date, time and zone name, with 100 digits of a second.
+LONGEST = 200
 EPOCH_1970 = datetime(1970, 1, 1)
 EPOCH_2001 = datetime(2001, 1, 1)
 
@@ -135,12 +137,14 @@ def _bare(text: str, epoch_2001: bool) -> list:
 def readings(text: str | None, epoch_2001: bool = False) -> list[tuple[str, datetime, object]]:
     """(family, wall time, zone or None) for every way the text names one existing date with a possible time; [] when none does.
 
-    Null, empty and placeholder texts have no reading. Texts over 200 characters name no moment. Only slashed numbers can have two
+    Null, empty and placeholder texts have no reading, nor has what is longer than any notation once white space is folded. Only slashed numbers can have two
     readings, slash_dmy and slash_mdy.
     """
-    if not text or len(text) > 200:
+    if not text:
         return []
     text = _SPACES.sub(" ", unicodedata.normalize("NFKC", text).replace("−", "-").replace("–", "-")).strip()
+    if len(text) > LONGEST:
+        return []
     if _NUMBER.fullmatch(text):
         return _bare(text, epoch_2001)
     if m := _CTIME.fullmatch(text):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.skew import lookup_join
+from kinfold.session import cut
 
 
 def first_arrivals(targets: DataFrame, key: str, arrived: str) -> DataFrame:
@@ -35,10 +36,15 @@ def orphan_rows(refs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def orphan_report(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(table_name, ref_field, period, orphans, orphan_keys): references are aggregated per key, moment-bounded month and target
-    state before the join, so a hot key costs one row per month; months of a null moment report as null."""
-    shrunk = refs.groupBy("table_name", "ref_field", "key", F.date_format("at", "yyyy-MM").alias("period"), "at").agg(F.count("*").alias("n"))
+    """(table_name, ref_field, period, orphans, orphan_keys): references are aggregated per key and month before the join, so a hot key
+    costs one row per month; a month is decided by its first and last moment. Only where the target arrived between the two are the
+    references themselves looked at. Null moments are orphans and their months report as null."""
+    by = ["table_name", "ref_field", "key", "period"]
+    dated = refs.withColumn("period", F.date_format("at", "yyyy-MM"))
+    shrunk = dated.groupBy(*by).agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
     counts = shrunk.groupBy("key").agg(F.count("*").alias("_n"))
-    judged = lookup_join(shrunk, targets, "key", counts).filter("not coalesce(first_at <= at, false)")
-    per_key = judged.groupBy("table_name", "ref_field", "period", "key").agg(F.sum("n").alias("n"))
-    return per_key.groupBy("table_name", "ref_field", "period").agg(F.sum("n").alias("orphans"), F.count("*").alias("orphan_keys"))
+    judged = cut(lookup_join(shrunk, targets, "key", counts))
+    whole = judged.filter("first_at is null or high is null or high < first_at").select(*by, "n")
+    split = judged.filter("low < first_at and high >= first_at").select(*by, "first_at")
+    part = dated.join(split, by).filter("at < first_at").groupBy(*by).agg(F.count("*").alias("n"))
+    return whole.unionByName(part).groupBy("table_name", "ref_field", "period").agg(F.sum("n").alias("orphans"), F.count("*").alias("orphan_keys"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 # English month abbreviations of dmy_date.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-_EMAIL = re.compile(r"[^@\s]*@[^@\s]*\.[^@\s]*(?<!\.)")
+_EMAIL = re.compile(r"[^@\s]+@[^@\s]*\.[^@\s]*(?<!\.)")
 _PHONE = re.compile(r"([ \t +()\-./0-9]*?)(?:x[0-9]{0,5})?")
 _URL = re.compile(r"https?://\S+", re.I)
 _ISO = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})")
@@ -101,16 +101,76 @@ def _no_constant(name: str):
 _DECODER = json.JSONDecoder(object_pairs_hook=_Pairs, parse_int=Number, parse_float=Number, parse_constant=_no_constant, strict=True)
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))')
+
+
+def deep_pairs(body: str) -> list[tuple[str, object]] | None:
+    """json_pairs for texts nested beyond the interpreter's stack: the same grammar with a stack of its own. Nested values come out as
+    empty objects, as no field type takes them."""
+    stack: list[str] = []
+    pairs: list[tuple[str, object]] = _Pairs()
+    want, key, at = "value", "", 0
+    while at < len(body):
+        m = _TOKEN.match(body, at)
+        if not m:
+            return None
+        at = m.end()
+        mark, text, number, word = m.groups()
+        value: object = None
+        if want in ("key", "key or end") and text is not None:
+            if len(stack) == 1:
+                key = json.loads(text)
+            want = "colon"
+            continue
+        if want == "colon" and mark == ":":
+            want = "value"
+            continue
+        if want == "next" and mark == ",":
+            want = "key" if stack[-1] == "{" else "value"
+            continue
+        if mark in ("}", "]") and stack and stack[-1] == ("{" if mark == "}" else "[") and (want == "next" or want == ("key or end" if mark == "}" else "value or end")):
+            stack.pop()
+            if not stack:
+                return pairs if at == len(body) else None
+            if len(stack) == 1:
+                pairs.append((key, _Pairs()))
+            want = "next"
+            continue
+        if want not in ("value", "value or end"):
+            return None
+        if mark in ("{", "["):
+            if not stack and mark == "[":
+                return None
+            stack.append(mark)
+            want = "key or end" if mark == "{" else "value or end"
+            continue
+        if text is not None:
+            value = json.loads(text)
+        elif number is not None:
+            value = Number(number)
+        elif word is not None:
+            value = {"true": True, "false": False, "null": None}[word]
+        else:
+            return None
+        if not stack:
+            return None
+        if len(stack) == 1:
+            pairs.append((key, value))
+        want = "next"
+    return None
+
+
 def json_pairs(raw: str) -> list[tuple[str, object]] | None:
-    """The members of exactly one JSON object in order, repeats included; None when the text is anything else.
-    Nesting deeper than the interpreter's stack counts as not readable."""
+    """The members of exactly one JSON object in order, repeats included; None when the text is anything else."""
     try:
         body = raw.strip(" \t\n\r")
         if not body.startswith("{"):
             return None
         value, end = _DECODER.raw_decode(body)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
+    except RecursionError:
+        return deep_pairs(body)
     return value if end == len(body) and isinstance(value, _Pairs) else None
 
 

@@ -9,6 +9,7 @@ and values whose best reading stays under `sure` are marked ambiguous.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,14 +57,21 @@ def _em(sure: float, rounds: int):
     return fit
 
 
+@lru_cache(1024)
+def _choices(text: str | None) -> dict[str, str]:
+    return dict(line.split("\t") for line in text.split("\n")) if text else {}
+
+
 def _utc(epoch_2001: tuple[str, ...]):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for s, t, tz, best in zip(pdf["source"], pdf["text"], pdf["tz"], pdf["choice"]):
+            for s, t, tz, choice in zip(pdf["source"], pdf["text"], pdf["tz"], pdf["choice"]):
                 found = None
-                for family, wall, own in moments.readings(t, s in epoch_2001):
-                    if best is not None and f"|{family}|" in best:
+                ways = moments.readings(t, s in epoch_2001)
+                best = _choices(choice if isinstance(choice, str) else None).get("|".join(w[0] for w in ways))
+                for family, wall, own in ways:
+                    if family == best:
                         at = own or (moments.zone(tz) if isinstance(tz, str) else None)
                         found = moments.to_utc(wall, at) if at else None
                         break
@@ -84,10 +92,11 @@ def normalise(df: DataFrame, feeds: DataFrame, row_id: str, source: str, text: s
     """(row_id, source, occurred_utc): UTC text yyyy-MM-ddTHH:mm:ss.SSSSSSZ, null where no reading is sure.
 
     feeds: (source, tz, day_first), one row a source, a dimension of fixed size that is broadcast. Null, empty and unreadable texts,
-    unknown zones and ambiguous readings give null. Repeated rows are kept. The chosen families of a source form one short string.
+    unknown zones and ambiguous readings give null. Repeated rows are kept. A value is read as the posterior of its own set of readings
+    in its source says; a source's sure choices, one per set of readings, form one short string.
     """
     model = reading_model(df, feeds, source, text, sure, epoch_2001=epoch_2001)
-    chosen = model.filter("status = 'read'").groupBy("source").agg(F.concat(F.lit("|"), F.array_join(F.array_sort(F.collect_set("family")), "|"), F.lit("|")).alias("choice"))
+    chosen = model.filter("status = 'read'").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set(F.concat("mask", F.lit("\t"), "family"))), "\n").alias("choice"))
     told = feeds.select("source", "tz").dropDuplicates(["source"])
     rows = df.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
     ready = rows.join(F.broadcast(told), "source", "left").join(F.broadcast(chosen), "source", "left")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import codecs
+import io
 import os
 import sqlite3
 import zipfile
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,22 +100,28 @@ def stage_touchpoints(df: DataFrame, source: str, mapping: dict[str, str], kind:
 
 
 def unpack_export(path: str, member: str, header: str, to: str) -> str:
-    """Path of a CSV without the lines before its header: from a zip's member or a plain file; members over the limit are refused."""
-    if zipfile.is_zipfile(path):
-        with zipfile.ZipFile(path) as z:
+    """Path of a CSV without the lines before its header: from a zip's member or a plain file, line by line, so that a file of any
+    size passes whole. Zip members over the limit are refused, as they may unpack to anything; a missing header is an error."""
+    with ExitStack() as stack:
+        if zipfile.is_zipfile(path):
+            z = stack.enter_context(zipfile.ZipFile(path))
             info = next((i for i in z.infolist() if os.path.basename(i.filename).lower() == member.lower()), None)
             if info is None:
                 raise FileNotFoundError(member)
             if info.file_size > MOST_UNPACKED:
                 raise ValueError(f"{member} unpacks to {info.file_size} bytes")
-            data = z.read(info)
-    else:
-        with open(path, "rb") as f:
-            data = f.read(MOST_UNPACKED + 1)
-    lines = data.decode("utf-8-sig", "replace").splitlines(keepends=True)
-    start = next((i for i, line in enumerate(lines) if line.startswith(header)), 0)
-    with open(to, "w", encoding="utf-8", newline="") as f:
-        f.writelines(lines[start:])
+            raw = stack.enter_context(z.open(info))
+        else:
+            raw = stack.enter_context(open(path, "rb"))
+        lines = io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace", newline="")
+        out = stack.enter_context(open(to, "w", encoding="utf-8", newline=""))
+        found = False
+        for line in lines:
+            found = found or line.startswith(header)
+            if found:
+                out.write(line)
+    if not found:
+        raise MappingError(f"no line starts with {header!r}")
     return to
 
 

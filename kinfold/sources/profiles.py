@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 Transport = Callable[[str, dict], tuple[int, dict, bytes]]
 # Hosts that are social profiles, not personal sites.
-SOCIAL_HOSTS = ("twitter.com", "x.com", "linkedin.com", "github.com", "facebook.com", "instagram.com", "youtube.com", "tiktok.com", "mastodon.social", "bsky.app")
+SOCIAL_HOSTS = ("twitter.com", "x.com", "instagram.com", "facebook.com", "linkedin.com", "github.com", "youtube.com", "tiktok.com", "mastodon", "threads.net")
 FACTS = "contact_id string, source string, field string, value string, kind string, confidence double"
 STRONG, WEAK = 0.9, 0.85
 

@@ -47,3 +47,21 @@ def test_delimited_text_is_assembled_and_judged(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
     got = [(r["fields"], r["reason"]) for r in records.load_delimited(df, "line", "Name:text|Badge:int").collect()]
     assert got == [(["Ada", "7"], None), (["multi\nline", "8"], None), (["too", "many", "fields"], "fields"), (["Bob", "x"], "value"), (None, "broken"), ([], "fields"), (None, "broken")]
+
+
+def test_deep_nesting_is_read_with_a_stack_of_its_own():
+    from kinfold.operators import records as R
+
+    deep = '{"a": ' + "[" * 200_000 + "]" * 200_000 + ', "b": "x"}'
+    assert [k for k, _ in R.json_pairs(deep)] == ["a", "b"] and R.fault(R.json_pairs(deep), [("a", "text"), ("b", "text")]) == "value"
+    assert R.json_pairs(deep[:-1]) is None and R.json_pairs(deep.replace('"x"', "x")) is None
+    for good in ('{}', '{"a": [1, {"b": null}], "c": "\\u00e9", "a": -0.5e3}', '{"a": {}, "b": []}'):
+        assert [(k, None if isinstance(v, (list, dict)) else v) for k, v in R.deep_pairs(good)] == [(k, None if isinstance(v, (list, dict)) else v) for k, v in R.json_pairs(good)]
+    for bad in ("", "[]", "{", '{"a"}', '{"a":}', '{"a":1,}', '{,}', '{"a":1}}', '{"a":1 "b":2}', '{"a":[1,]}', '{"a":[1}', '{"a":01}', '{"a":"\n"}', '{"a":NaN}', '1', '{"a":1}x'):
+        assert R.deep_pairs(bad) is None and R.json_pairs(bad) is None, bad
+
+
+def test_addresses_need_a_local_part():
+    from kinfold.operators.records import is_email
+
+    assert is_email("a@b.c") and not is_email("@b.c") and not is_email("a@b") and not is_email("a@b.") and not is_email("a b@c.d") and not is_email("a@@b.c")

@@ -111,3 +111,15 @@ def test_encoding_is_judged_by_the_whole_file(tmp_path):
     assert [people.encoding_of(str(p)) for p in (late, cut, whole)] == ["ISO-8859-1", "UTF-8", "UTF-8"]
     late.write_bytes("Zoé".encode()[:-1])
     assert people.encoding_of(str(late)) == "ISO-8859-1"
+
+
+def test_a_plain_export_of_any_size_passes_whole(tmp_path, monkeypatch):
+    monkeypatch.setattr(people, "MOST_UNPACKED", 1 << 10)
+    path, to = tmp_path / "big.csv", tmp_path / "out.csv"
+    rows = [f"Ada,{i}\n" for i in range(5000)]
+    path.write_text("Notes:\n\nFirst Name,N\n" + "".join(rows), encoding="utf-8")
+    people.unpack_export(str(path), "Connections.csv", "First Name,", str(to))
+    assert to.read_text() == "First Name,N\n" + "".join(rows)
+    path.write_text("nothing here\n")
+    with pytest.raises(people.MappingError):
+        people.unpack_export(str(path), "Connections.csv", "First Name,", str(to))

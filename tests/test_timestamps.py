@@ -81,3 +81,17 @@ def test_round_trip_of_one_moment():
     for text in (at.isoformat(), at.strftime("%d %b %Y %H:%M:%S UTC"), at.strftime("%Y%m%dT%H%M%SZ"), at.strftime("%G-W%V-%uT%H:%M:%SZ"), at.strftime("%Y-%jT%H:%M:%SZ")):
         (family, wall, tz), *more = moments.readings(text)
         assert moments.to_utc(wall, tz) == at and not more, text
+
+
+def test_a_source_that_mixes_both_orders_leaves_the_unsure_open(spark):
+    from kinfold.operators import timestamps
+
+    texts = ["13/04/2024"] * 60 + ["04/13/2024"] * 40 + ["03/04/2024"] * 30 + ["2024-03-04"] * 5 + [None, "", "  " * 150 + "2024-03-05" + " " * 200]
+    df = spark.createDataFrame([(str(i), "mixed", t) for i, t in enumerate(texts)], "id string, source string, occurred_at string")
+    feeds = spark.createDataFrame([("mixed", "UTC", None)], "source string, tz string, day_first boolean")
+    got = {int(r["row_id"]): r["occurred_utc"] for r in timestamps.normalise(df, feeds, "id", "source", "occurred_at").collect()}
+    assert {got[i] for i in range(100)} == {"2024-04-13T00:00:00.000000Z"}
+    assert {got[i] for i in range(100, 130)} == {None} and got[130] == "2024-03-04T00:00:00.000000Z"
+    assert got[135] is None and got[136] is None and got[137] == "2024-03-05T00:00:00.000000Z"
+    status = {(r["status"], r["family"]): r["rows"] for r in timestamps.status_report(df, feeds, "source", "occurred_at").collect()}
+    assert status[("ambiguous", "slash_dmy")] == 30
