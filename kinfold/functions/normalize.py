@@ -59,7 +59,7 @@ def trigrams(expr: str, dialect: str = "spark") -> str:
 def linkedin_profile(expr: str, dialect: str = "spark", host: str = "linkedin.example") -> str:
     """host/in/slug of a person's profile URL; null for companies, other hosts and anything else."""
     v = sub(f"lower({trimmed(expr, dialect)})", "^https?://", "", dialect)
-    v = sub(sub(sub(v, "^(www[.]|m[.])", "", dialect), "[?#].*$", "", dialect), "/+$", "", dialect)
+    v = sub(unescaped(sub(sub(v, "^(www[.]|m[.])", "", dialect), "[?#].*$", "", dialect), dialect), "/+$", "", dialect)
     return f"(case when {like(v, '^' + host.replace('.', '[.]') + '/in/[^/]+', dialect)} then {v} end)"
 
 
@@ -137,4 +137,38 @@ def intent_tokens(intent: str, stop: frozenset[str]) -> list[str]:
     """Distinct lower-case words of a query of three letters or more that are no stop words, in order."""
     import re
 
-    return list(dict.fromkeys(t for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9\-]+", intent.lower()) if t not in stop and len(t) >= 3))
+    return list(dict.fromkeys(t for t in re.findall(r"[a-z0-9][a-z0-9-]+", intent.lower()) if t not in stop and len(t) >= 3))
+
+
+def plain_name(expr: str, dialect: str = "spark") -> str:
+    """A name without accents and case, white space folded; null when nothing is left."""
+    return f"nullif(trim({sub(unaccent_lower(expr, dialect), '[\\s\u00a0]+', ' ', dialect)}), '')"
+
+
+def confidence_class(score: str) -> str:
+    """auto, review or none, by the thresholds of a resolution run."""
+    return f"(case when {score} >= {AUTO_MERGE} then 'auto' when {score} >= {REVIEW_BAND} then 'review' else 'none' end)"
+
+
+def is_social(url: str, hosts: tuple[str, ...]) -> str:
+    """Whether an address names one of the social hosts."""
+    return "(" + " or ".join(f"coalesce(lower({url}) like '%{h}%', false)" for h in hosts) + ")"
+
+
+def evidence(detail: str, quote: str) -> str:
+    """What a fact rests on: detail and quote joined by a dot, blanks left out; null when both are missing."""
+    return f"nullif(concat_ws(' · ', nullif(trim({detail}), ''), nullif(trim({quote}), '')), '')"
+
+
+def unescaped(expr: str, dialect: str = "spark") -> str:
+    """Percent-decoded text; a text that does not decode stays as it is. A plus sign is kept."""
+    if dialect == "spark":
+        return f"coalesce(try_url_decode(replace({expr}, '+', '%2B')), {expr})"
+    return f"(case when {like(expr, '%([^0-9A-Fa-f]|[0-9A-Fa-f]([^0-9A-Fa-f]|$)|$)', dialect)} then {expr} else url_decode({expr}) end)"
+
+
+def canonical_identifier(kind: str, value: str, dialect: str = "spark") -> str:
+    """The canonical form of an identifier by its kind; null for other kinds."""
+    from kinfold.functions.keys import KEY_BUILDERS
+
+    return "(case " + " ".join(f"when {kind} = '{k}' then {build(value, dialect)}" for k, build in KEY_BUILDERS.items()) + " end)"

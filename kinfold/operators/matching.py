@@ -93,6 +93,19 @@ def search_name(contacts: DataFrame, query: str, most: int = 10, least: float =
     return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(most)
 
 
+def hints(refs: DataFrame, contacts: DataFrame, most: int = 3) -> DataFrame:
+    """(ref, hint, place): the names most similar to each reference, from the review band on; ties to the smaller name."""
+    pairs = similar_pairs(trigram_table(refs, "ref"), trigram_table(contacts, "full_name"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    return pairs.withColumn("place", place).filter(F.col("place") <= most).select(F.col("a").alias("ref"), F.col("b").alias("hint"), "place")
+
+
+def review_queue(staging: DataFrame, most: int) -> DataFrame:
+    """(id, full_name, match_confidence, place) of the rows to review first: those without a confidence lead, then the most confident."""
+    rows = staging.filter("match_status = 'needs_review'").orderBy(F.col("match_confidence").desc_nulls_first(), "id").limit(most)
+    return rows.select("id", "full_name", "match_confidence", F.row_number().over(Window.orderBy(F.col("match_confidence").desc_nulls_first(), "id")).alias("place"))
+
+
 def clusters(staging: DataFrame, exact: DataFrame | None = None, fuzzy: DataFrame | None = None) -> DataFrame:
     """(id, cluster_id) of every staged row: rows linked by an equal key, by similar names, or by one common contact, directly or
     through others; alone otherwise. cluster_id is the smallest id."""
@@ -219,11 +232,12 @@ def plan(staging: DataFrame, contacts: DataFrame, identities: DataFrame) -> Data
     return ordered.select("id", "cluster_id", "full_name", *EXACT, "hits", "fuzzy_id", "fuzzy_score").mapInPandas(_replay, "id string, cluster_id string, match_status string, ref string, score double, method string")
 
 
-def fold(attached: DataFrame, contacts: DataFrame, elected: DataFrame) -> DataFrame:
+def fold(attached: DataFrame, contacts: DataFrame, elected: DataFrame, keep_old: bool = False) -> DataFrame:
     """(id, contact_id, field, value, kind): the fills and conflicts of attaching staged rows to contacts in order.
 
     attached: (id, contact_id, seq, and the staged columns). The first value that is not missing fills a gap; later different ones
     conflict with what stands then; a gap that the log elected (elected: contact_id, field) is a deliberate clear and only conflicts.
+    keep_old adds `stands`, the value a row was compared with.
     """
     long = attached.select("id", "contact_id", "seq", F.explode(F.create_map(*[x for g, s in FILL.items() for x in (F.lit(g), F.col(s))])).alias("field", "value")).filter("value is not null and value <> ''")
     gold = contacts.select(F.col("id").alias("contact_id"), F.explode(F.create_map(*[x for g in FILL for x in (F.lit(g), F.col(g))])).alias("field", "golden"))
@@ -233,7 +247,7 @@ def fold(attached: DataFrame, contacts: DataFrame, elected: DataFrame) -> DataFr
     stands = F.coalesce("golden", F.when(~F.col("cleared"), F.first("value", ignorenulls=True).over(before)))
     rows = rows.withColumn("stands", stands)
     kind = F.when(F.col("stands").isNull() & ~F.col("cleared"), "fill").when(F.col("stands").isNull(), "conflict").when(F.col("stands") != F.col("value"), "conflict")
-    return rows.select("id", "contact_id", "field", "value", kind.alias("kind")).filter("kind is not null")
+    return rows.select("id", "contact_id", "field", "value", kind.alias("kind"), *(["stands"] if keep_old else [])).filter("kind is not null")
 
 
 def birth_rows(planned: DataFrame, staging: DataFrame) -> DataFrame:

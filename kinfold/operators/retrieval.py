@@ -17,9 +17,12 @@ from kinfold.functions import normalize as N
 # Role words that stand for each other, and words of a query that say nothing.
 ROLE_SYNONYMS = {"founder": ("founder", "co-founder", "cofounder", "founding"), "ceo": ("ceo", "chief executive")}
 ROLE_SYNONYMS |= {"cofounder": ROLE_SYNONYMS["founder"], "co-founder": ROLE_SYNONYMS["founder"]}
-STOP_WORDS = frozenset(
-    "a an and any are as at be by can do for from has have i in is it me my of on or she he that the to who whom with you your someone people person know find good need want looking leader expert".split()
-)
+STOP_WORDS = frozenset((
+    "a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "do", "for", "from", "has", "have", "i", "in", "is", "it", "me", "my", "of", "on", "or", "she", "he", "that", "the", "to", "who", "whom", "with", "you", "your",
+    "someone", "people", "person", "know", "find", "good", "need", "want", "looking", "leader", "expert",
+))
+# Bundles of role words by class.
+ROLE_CLASSES = {"founder": ("founder", "co-founder", "cofounder", "founding")}
 CONTACT_COLUMNS = ("id", "full_name", "current_position", "current_company", "company_category", "location", "connection_status", "closeness_tier", "last_touchpoint_at")
 TEXT_COLUMNS = ("company_category", "notes", "current_position", "current_company")
 ARRAY_COLUMNS = ("expertise", "tags")
@@ -36,11 +39,22 @@ def role_terms(*roles: str) -> list[str]:
     return list(dict.fromkeys(plain(s) for w in words for s in ROLE_SYNONYMS.get(w, (w,)) if plain(s)))
 
 
+def role_class(name: str) -> tuple[str, ...]:
+    """The role words of a class; an unknown class is a word itself."""
+    return ROLE_CLASSES.get(name.strip().lower(), (name,))
+
+
+def capped(pool: DataFrame, most: int) -> DataFrame:
+    """(id, matched, truncated): the first ids of a pool, how many it has and whether some were left out."""
+    total = pool.agg(F.count("*").alias("matched"))
+    return pool.select("id").orderBy("id").limit(most).join(F.broadcast(total)).withColumn("truncated", F.col("matched") > most)
+
+
 def contains(column: str, term: str) -> Column:
     return F.col(column).ilike(f"%{term}%")
 
 
-def contact_filter(status: str | None = None, tier: str | None = None, tag: str | None = None, affiliation: str | None = None, cold_months: int | None = None, as_of: str | None = None, role: str | None = None, category: str | None = None, location: str | None = None) -> Column:
+def contact_filter(status: str | None = None, tier: str | None = None, tag: str | None = None, affiliation: str | None = None, cold_months: int | None = None, as_of: str | None = None, role: str | None = None, category: str | None = None, location: str | None = None, role_class: str | None = None) -> Column:
     """All given conditions joined by AND; a contact without a touchpoint counts as cold."""
     parts = [F.lit(True)]
     if status:
@@ -53,7 +67,8 @@ def contact_filter(status: str | None = None, tier: str | None = None, tag: str
         parts.append(F.array_contains("affiliations", affiliation))
     if cold_months is not None:
         parts.append((F.col("last_touchpoint_at") <= F.date_sub(F.lit(as_of).cast("date"), 30 * cold_months)) | F.col("last_touchpoint_at").isNull())
-    if role and (terms := role_terms(role)):
+    roles = [*([role] if role else []), *(ROLE_CLASSES.get(role_class.strip().lower(), (role_class,)) if role_class else ())]
+    if terms := role_terms(*roles):
         parts.append(reduce(lambda a, b: a | b, [contains("current_position", t) for t in terms]))
     if category and plain(category):
         parts.append(contains("company_category", plain(category)))

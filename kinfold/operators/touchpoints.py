@@ -93,3 +93,19 @@ def bump(contacts: DataFrame, touched: DataFrame) -> DataFrame:
 def message_rollup(messages: DataFrame, handle: str, day: str) -> DataFrame:
     """(handle, messages, last_day): counts per handle."""
     return messages.filter(F.col(handle).isNotNull()).groupBy(F.col(handle).alias("handle")).agg(F.count("*").alias("messages"), F.max(day).alias("last_day"))
+
+
+def backfill(staged: DataFrame, identities: DataFrame, interactions: DataFrame, contacts: DataFrame) -> dict[str, DataFrame]:
+    """One run over all staged touchpoints that are pending or were left orphaned: `staged` (id, match_status, matched_contact_id),
+    `interactions` with the linked ones merged in, `touched` (contact_id) that gained or lost one, and `contacts` with the recency and
+    tier of the touched ones recomputed. A repeated run changes nothing."""
+    waiting = staged.filter("match_status in ('pending', 'orphaned')")
+    linked = link(waiting, identities)
+    outcome = linked.select("id", F.when(F.col("contact_id").isNull(), "orphaned").otherwise("linked").alias("match_status"), F.col("contact_id").alias("matched_contact_id"))
+    rows = waiting.join(linked.filter("contact_id is not null"), "id")
+    payload = rows.select("id", "contact_id", F.lit(None).cast("string").alias("event_id"), "kind", "channel", F.expr("try_cast(occurred_at as date)").alias("occurred_at"), "summary", F.lit("importer").alias("logged_by"), F.col("imported_at").alias("created_at"), F.col("imported_at").alias("updated_at"), "source", "source_external_id")
+    merged, moved = upsert_interactions(interactions, payload)
+    touched = payload.select("contact_id").unionByName(moved).distinct()
+    named = touched.withColumnRenamed("contact_id", "id")
+    fresh = recompute(contacts.join(named, "id", "left_semi"), merged.join(touched, "contact_id", "left_semi"))
+    return {"staged": outcome, "interactions": merged, "touched": touched, "contacts": contacts.join(named, "id", "left_anti").unionByName(fresh)}

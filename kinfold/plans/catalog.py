@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import keys as K
 from kinfold.functions import normalize as N
 from kinfold.operators import cohort, matching, retrieval, stats, survivorship, touchpoints
+from kinfold.operators.skew import lookup_join
 from kinfold.session import table
 
 D = "duckdb"
@@ -227,9 +228,12 @@ _scalar("hash_ids", "staging", gravatar=lambda d: ("sha2(lower(%s), 256)" if d =
 _scalar("dates_misc", "interactions", apple=lambda d: N.apple_date("cast(date_diff('day', date '2001-01-01', occurred_at) * 86400 as bigint)" if d == D else "cast(datediff(occurred_at, date'2001-01-01') * 86400 as bigint)", d), cold=lambda d: f"occurred_at <= date '{AS_OF}' - interval '180' day", iso=lambda d: K.like("cast(occurred_at as string)" if d == "spark" else "cast(occurred_at as varchar)", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", d))
 
 
-@query("select unnest(['" + "', '".join(TOKENS) + "']) as token")
+@query(f"select id, array_to_string(list_filter(regexp_extract_all(lower(notes), '[a-z0-9][a-z0-9-]+'), lambda w: length(w) >= 3 and w not in ({', '.join(repr(w) for w in sorted(retrieval.STOP_WORDS))})), ' ') as tokens from contacts")
 def tokenize(spark, d):
-    return spark.createDataFrame([(w,) for w in TOKENS], "token string")
+    """The words of every note that a search would look for, in order."""
+    stop = ", ".join(repr(w) for w in sorted(retrieval.STOP_WORDS))
+    words = F.expr(f"array_join(filter(regexp_extract_all(lower(notes), '[a-z0-9][a-z0-9-]+', 0), w -> length(w) >= 3 and w not in ({stop})), ' ')")
+    return Tables(spark, d).contacts.select("id", words.alias("tokens"))
 
 
 # --- resolution --------------------------------------------------------------------------------------------------------------------
@@ -284,8 +288,9 @@ def components(spark, d):
 
     t = Tables(spark, d)
     keyed = matching.key_table(t.staging, "id", ("email", "phone", "linkedin_url", "handle")).select("id", "key")
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"))
-    return connected_components(keyed.join(hubs, "key").select(F.col("id").alias("u"), F.col("hub").alias("v")))
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("_n")).filter("_n > 1")
+    linked = lookup_join(keyed, hubs.drop("_n"), "key", hubs.select("key", "_n")).filter("hub is not null")
+    return connected_components(linked.select(F.col("id").alias("u"), F.col("hub").alias("v")))
 
 
 @query()
@@ -405,10 +410,12 @@ def upsert_interactions(spark, d):
     return touchpoints.upsert_interactions(t.interactions, _payload(t))[0].select("id", "contact_id", "kind", "occurred_at", "summary")
 
 
-@query(f"select distinct i.contact_id from interactions i join ({_FRESH}) f on f.source = i.source and f.source_external_id = i.source_external_id where i.contact_id is distinct from f.contact_id and i.contact_id is not null")
+@query("select distinct i.contact_id from interactions i join (select id, first_value(id) over (partition by lower(full_name) order by id) as first from contacts where full_name is not null) p on p.id = i.contact_id where p.id <> p.first and i.source is not null and i.source_external_id is not null and (i.source, i.source_external_id) in (select (source, source_external_id) from interactions where source is not null and source_external_id is not null)")
 def moved_contacts(spark, d):
+    """Contacts that lose touchpoints when those of namesakes are delivered again for the first of the name."""
     t = Tables(spark, d)
-    return touchpoints.upsert_interactions(t.interactions, _payload(t))[1]
+    again = cohort.rekey(t.interactions.filter("source is not null and source_external_id is not null"), _same_name(t))
+    return touchpoints.upsert_interactions(t.interactions, again)[1]
 
 
 @query(f"select c.id, case when l.occurred_at is not null and (c.last_touchpoint_at is null or c.last_touchpoint_at < l.occurred_at) then l.occurred_at else c.last_touchpoint_at end as last_touchpoint_at, case when l.occurred_at is not null and (c.last_touchpoint_at is null or c.last_touchpoint_at < l.occurred_at) then l.channel else c.last_touchpoint_channel end as channel, coalesce(l.occurred_at is not null and (c.last_touchpoint_at is null or c.last_touchpoint_at < l.occurred_at), false) as bumped from contacts c left join ({_LAST}) l on l.contact_id = c.id")
@@ -514,11 +521,14 @@ def bulk_set_preview(spark, d):
     return cohort.set_preview(t.contacts, cohort.cohort(t.contacts, retrieval.contact_filter(status="in_network")), "company_category", "media")
 
 
-_PAIRS = "select min(id) as keep_id, max(id) as drop_id from contacts where full_name is not null group by lower(full_name) having count(*) > 1"
+_PAIRS = "select first as keep_id, id as drop_id from (select id, first_value(id) over (partition by lower(full_name) order by id) as first from contacts where full_name is not null) where id <> first"
 
 
 def _same_name(t: Tables) -> DataFrame:
-    return t.contacts.filter("full_name is not null").groupBy(F.lower("full_name").alias("low")).agg(F.min("id").alias("keep_id"), F.max("id").alias("drop_id"), F.count("*").alias("n")).filter("n > 1").select("keep_id", "drop_id")
+    """(keep_id, drop_id): of contacts of one name, the one with the smallest id and each other one."""
+    named = t.contacts.filter("full_name is not null").select(F.lower("full_name").alias("low"), "id")
+    kept = named.groupBy("low").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return named.join(kept, "low").filter("id <> keep_id").select("keep_id", F.col("id").alias("drop_id"))
 
 
 def _union(c: str) -> str:

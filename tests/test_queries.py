@@ -1,10 +1,10 @@
 import pytest
 
-from kinfold.plans import catalog, data_quality
+from kinfold.plans import catalog, data_quality, writes
 from tests.compare import assert_same, database
 
-QUERIES = {**data_quality.QUERIES, **catalog.QUERIES}
-ORACLE = {**data_quality.ORACLE, **catalog.ORACLE}
+QUERIES = {**data_quality.QUERIES, **catalog.QUERIES, **writes.QUERIES}
+ORACLE = {**data_quality.ORACLE, **catalog.ORACLE, **writes.ORACLE}
 
 
 @pytest.fixture(scope="module")
