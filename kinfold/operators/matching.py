@@ -217,19 +217,43 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "cluster_id", "match_status", "ref", "score", "method"])
 
 
+def _alone(rows: DataFrame) -> DataFrame:
+    """The decisions of Replay on rows that are the only one of their cluster, in columns: no row before them created a contact."""
+    targets = F.array_distinct(F.transform("hits", lambda h: h["contact_id"]))
+    n = F.coalesce(F.size(targets), F.lit(0))
+    n = F.when(n < 0, 0).otherwise(n)
+    first = F.get("hits", F.lit(0))
+    fuzzy = F.when(F.col("fuzzy_id").isNotNull(), F.col("fuzzy_score"))
+    named = F.col("full_name").isNotNull()
+    clash, one = named & (n > 1), named & (n == 1)
+    auto, near = named & (n == 0) & (fuzzy >= N.AUTO_MERGE), named & (n == 0) & (fuzzy >= N.REVIEW_BAND)
+    key = F.concat("cluster_id", F.lit(":"), "id")
+    return rows.select(
+        "id", "cluster_id",
+        F.when(~named, "rejected").when(clash, "needs_review").when(one | auto, "auto_matched").when(near, "needs_review").otherwise("merged").alias("match_status"),
+        F.when(clash | one, first["contact_id"]).when(auto | near, F.col("fuzzy_id")).when(named, key).alias("ref"),
+        F.when(clash, N.CONFLICT_SCORE).when(one, 1.0).when(auto | near, fuzzy).alias("score"),
+        F.when(~named, "no_name").when(clash, "conflicting_keys").when(one, first["method"]).when(auto | near, "fuzzy_name").otherwise("new_contact").alias("method"),
+    )
+
+
 def plan(staging: DataFrame, contacts: DataFrame, identities: DataFrame) -> DataFrame:
     """(id, cluster_id, match_status, ref, score, method) of every row: what a resolution run would do with it.
 
-    Rows stream through a task in cluster order; a task holds the contacts created so far in one cluster, never the cluster's rows.
+    Rows alone in their cluster are decided in columns. The others stream through a task in cluster order; a task holds the contacts
+    created so far in one cluster, never the cluster's rows.
     """
     exact = cut(exact_hits(staging, identities))
     fuzzy = cut(best_by_name(staging, contacts))
     grouped = cut(clusters(staging, exact, fuzzy))
+    sizes = grouped.groupBy("cluster_id").agg(F.count("*").alias("_n"))
     hits = exact.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "method", "contact_id"))).alias("hits"))
     keyed = staging.select("id", F.expr("nullif(full_name, '')").alias("full_name"), "imported_at", *[F.expr(personal_key(k)).alias(k) for k in EXACT])
-    rows = keyed.join(grouped, "id").join(hits, "id", "left").join(fuzzy.select(F.col("name").alias("full_name"), F.col("contact_id").alias("fuzzy_id"), F.col("score").alias("fuzzy_score")), "full_name", "left")
-    ordered = rows.repartition("cluster_id").sortWithinPartitions("cluster_id", "imported_at", "id")
-    return ordered.select("id", "cluster_id", "full_name", *EXACT, "hits", "fuzzy_id", "fuzzy_score").mapInPandas(_replay, "id string, cluster_id string, match_status string, ref string, score double, method string")
+    sized = lookup_join(grouped, sizes, "cluster_id", sizes)
+    rows = cut(keyed.join(sized, "id").join(hits, "id", "left").join(fuzzy.select(F.col("name").alias("full_name"), F.col("contact_id").alias("fuzzy_id"), F.col("score").alias("fuzzy_score")), "full_name", "left"))
+    ordered = rows.filter("_n > 1").repartition("cluster_id").sortWithinPartitions("cluster_id", "imported_at", "id")
+    replayed = ordered.select("id", "cluster_id", "full_name", *EXACT, "hits", "fuzzy_id", "fuzzy_score").mapInPandas(_replay, "id string, cluster_id string, match_status string, ref string, score double, method string")
+    return _alone(rows.filter("_n = 1")).unionByName(replayed)
 
 
 def fold(attached: DataFrame, contacts: DataFrame, elected: DataFrame, keep_old: bool = False) -> DataFrame:

@@ -93,3 +93,52 @@ def test_fold_equals_serial(spark):
     contacts = spark.createDataFrame(list(gold.items()), "id string, current_company string").select("*", *[F.lit(None).cast("string").alias(g) for g in matching.FILL if g != "current_company"])
     elected = spark.createDataFrame([(c, "current_company") for c in cleared], "contact_id string, field string")
     assert sorted((r["id"], r["kind"]) for r in matching.fold(att, contacts, elected).collect()) == sorted(want)
+
+
+def test_the_plan_equals_a_serial_run_over_all_rows(spark):
+    """A run without clusters, row by row over one list of contacts, decides the same."""
+    import random
+    from datetime import datetime, timedelta
+
+    from kinfold.operators import matching as M
+
+    rng = random.Random(5)
+    names = ["Robert Smithson", "Robart Smithson", "Anna Gellert", "Anna Gelert", "Zoe Quarrington", "Ida Vexley", "Ida Vexly", "", None, "Theodore Walkenhurst"]
+    rows, contacts, idents = [], [], []
+    for i in range(40):
+        email = f"m{rng.randint(0, 12)}@x.example" if rng.random() < 0.4 else None
+        phone = f"+1555000{rng.randint(0, 9):04}" if rng.random() < 0.2 else None
+        rows.append((f"s{i:02}", "a", rng.choice(names), email, phone, None, None, datetime(2026, 1, 1) + timedelta(hours=rng.randint(0, 400))))
+    for i in range(6):
+        contacts.append((f"c{i}", names[i]))
+        idents.append((f"i{i}", f"c{i}", f"m{i}@x.example", None, None, None, datetime(2025, 1, 1)))
+    staging = spark.createDataFrame(rows, "id string, source string, full_name string, email string, phone string, linkedin_url string, handle string, imported_at timestamp")
+    got = {r["id"]: (r["match_status"], r["ref"] and r["ref"].split(":")[-1], r["score"] and round(r["score"], 4), r["method"]) for r in M.plan(staging, spark.createDataFrame(contacts, "id string, full_name string"), spark.createDataFrame(idents, "id string, contact_id string, email string, phone string, linkedin_url string, handle string, imported_at timestamp")).collect()}
+    known = [{"ref": c, "grams": M.trigram_set(n), "email": {f"m{i}@x.example"}, "phone": set(), "old": True} for i, (c, n) in enumerate(contacts)]
+    want = {}
+    for i, _, name, email, phone, _, _, _ in sorted(rows, key=lambda r: (r[7], r[0])):
+        if not name:
+            want[i] = ("rejected", None, None, "no_name")
+            continue
+        hits = []
+        for kind, value in (("email", email), ("phone", phone and phone[1:])):
+            for k in known:
+                if value and value in k[kind] and k["ref"] not in [h for h, _ in hits]:
+                    hits.append((k["ref"], "exact_" + kind))
+        if len(hits) > 1:
+            want[i] = ("needs_review", hits[0][0], 0.75, "conflicting_keys")
+            continue
+        best = max(((M.similarity(M.trigram_set(name), k["grams"]), k["old"], k) for k in known), key=lambda x: (x[0], x[1]))
+        if hits or best[0] >= 0.92:
+            target = next(k for k in known if k["ref"] == hits[0][0]) if hits else best[2]
+            want[i] = ("auto_matched", target["ref"], 1.0 if hits else round(best[0], 4), hits[0][1] if hits else "fuzzy_name")
+            if not target["old"]:
+                for kind, value in (("email", email), ("phone", phone and phone[1:])):
+                    if value and not target[kind]:
+                        target[kind].add(value)
+        elif best[0] >= 0.55:
+            want[i] = ("needs_review", best[2]["ref"], round(best[0], 4), "fuzzy_name")
+        else:
+            want[i] = ("merged", i, None, "new_contact")
+            known.append({"ref": i, "grams": M.trigram_set(name), "email": {email} - {None}, "phone": {phone and phone[1:]} - {None}, "old": False})
+    assert got == want and {"merged", "auto_matched", "needs_review", "rejected"} <= {w[0] for w in want.values()}
