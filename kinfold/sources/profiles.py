@@ -1,5 +1,5 @@
 """Profile sources of enrichment facts. The transport is a function (url, headers) -> (status, headers, body), so that tests and offline
-runs use stored responses; the default uses the standard library with bounded retries."""
+runs use stored responses; the default uses the standard library with bounded retries. A header `method` names another method than GET."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import random
 import re
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -19,12 +20,14 @@ Transport = Callable[[str, dict], tuple[int, dict, bytes]]
 # Hosts that are social profiles, not personal sites.
 SOCIAL_HOSTS = ("twitter.com", "x.com", "instagram.com", "facebook.com", "linkedin.com", "github.com", "youtube.com", "tiktok.com", "mastodon", "threads.net")
 FACTS = "contact_id string, source string, field string, value string, kind string, confidence double"
-STRONG, WEAK = 0.9, 0.85
+# Confidence of a self-published profile and of a code host's user record.
+PROFILE_CONFIDENCE, ACCOUNT_CONFIDENCE = 0.9, 0.85
 
 
 def plain_transport(url: str, headers: dict, timeout: float = 10.0) -> tuple[int, dict, bytes]:
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
+        asked = urllib.request.Request(url, headers={k: v for k, v in headers.items() if k != "method"}, method=headers.get("method"))
+        with urllib.request.urlopen(asked, timeout=timeout) as r:
             return r.status, dict(r.headers), r.read()
     except urllib.error.HTTPError as e:
         return e.code, dict(e.headers or {}), b""
@@ -51,41 +54,67 @@ def mail_hash(email: str) -> str:
     return hashlib.sha256(email.strip().lower().encode()).hexdigest()
 
 
+def _told(confidence: float, *pairs: tuple[str, object]) -> list[tuple[str, str, float]]:
+    """Facts of the values that are not blank."""
+    return [(field, str(value).strip(), confidence) for field, value in pairs if value and str(value).strip()]
+
+
+def _json(status: int, body: bytes) -> dict:
+    """The object of a sound response, else an empty one."""
+    try:
+        found = json.loads(body) if status == 200 else {}
+    except ValueError:
+        found = {}
+    return found if isinstance(found, dict) else {}
+
+
 class ProfileSource:
-    """Public profile by the hash of a mail address."""
+    """Public profile by the hash of a mail address: the avatar, where one exists, and five fields; the name is never taken over."""
 
-    name, produces, interval = "gravatar", ("avatar_url", "location", "current_role", "current_company", "twitter_username", "github_username", "website_url"), 60 / 50
+    name, produces, interval = "gravatar", ("avatar_url", "location", "current_role", "current_company", "twitter_username", "website_url"), 60 / 50
 
     def facts(self, email: str, transport: Transport) -> list[tuple[str, str, float]]:
-        status, body = fetch(transport, f"https://api.gravatar.com/v3/profiles/{mail_hash(email)}", {})
-        if status != 200:
+        if "@" not in email:
             return []
-        p = json.loads(body)
-        out = [(f, p.get(k), STRONG) for f, k in (("avatar_url", "avatar_url"), ("location", "location"), ("current_role", "job_title"), ("current_company", "company"))]
-        for a in p.get("verified_accounts") or []:
-            field = {"twitter": "twitter_username", "github": "github_username"}.get(a.get("shortname") or a.get("service_type"))
-            if field and a.get("username"):
-                out.append((field, a["username"], STRONG))
-        site = next((x["url"] for x in p.get("links") or [] if x.get("url") and not is_social(x["url"])), None)
-        return [(f, v, c) for f, v, c in [*out, ("website_url", site, WEAK)] if v]
+        key = mail_hash(email)
+        avatar = f"https://gravatar.com/avatar/{key}"
+        there, _ = fetch(transport, avatar + "?d=404", {"method": "HEAD"})
+        p = _json(*fetch(transport, f"https://api.gravatar.com/v3/profiles/{key}", {}))
+        accounts = ((a.get("shortname") or a.get("service_label") or "", a.get("username")) for a in p.get("verified_accounts") or [])
+        twitter = next((user for kind, user in accounts if kind.lower() == "twitter" and user), None)
+        links = ((x.get("url") or "").strip() for x in p.get("links") or [])
+        site = next((url for url in links if url and not is_social(url)), None)
+        return _told(PROFILE_CONFIDENCE, ("avatar_url", avatar if there == 200 else None), ("location", p.get("location")), ("current_company", p.get("company")), ("current_role", p.get("job_title")), ("twitter_username", twitter), ("website_url", site))
 
 
 class CodeHostSource:
-    """Account of a code host: from a noreply address, else by a search with exactly one hit."""
+    """Account of a code host and its user record: the login from a noreply address, else by a search with exactly one hit, for which
+    a token is needed."""
 
-    name, produces, interval = "github", ("github_username",), 60 / 10
+    name, produces, interval = "github", ("github_username", "avatar_url", "current_company", "location", "website_url", "twitter_username"), 60 / 10
 
     def __init__(self, token: str | None = None):
+        self.headers = {"Accept": "application/vnd.github+json", "X-GitHub-Api-Version": "2022-11-28", **({"Authorization": f"Bearer {token}"} if token else {})}
         self.token = token
 
-    def facts(self, email: str, transport: Transport) -> list[tuple[str, str, float]]:
+    def login(self, email: str, transport: Transport) -> str | None:
         if m := re.fullmatch(r"(?:\d+\+)?([a-z\d-]+)@users\.noreply\.github\.com", email.strip().lower()):
-            return [("github_username", m[1], STRONG)]
+            return m[1]
         if not self.token:
+            return None
+        found = _json(*fetch(transport, f"https://api.github.com/search/users?q={urllib.parse.quote(email)}", self.headers))
+        items = found.get("items") or []
+        return items[0].get("login") if found.get("total_count") == 1 and items else None
+
+    def facts(self, email: str, transport: Transport) -> list[tuple[str, str, float]]:
+        login = self.login(email, transport) if "@" in email else None
+        if not login:
             return []
-        status, body = fetch(transport, f"https://api.github.com/search/users?q={email}+in:email", {"Authorization": f"Bearer {self.token}"})
-        found = json.loads(body) if status == 200 else {}
-        return [("github_username", found["items"][0]["login"], WEAK)] if found.get("total_count") == 1 else []
+        status, body = fetch(transport, f"https://api.github.com/users/{login}", self.headers)
+        u = _json(status, body)
+        if not u:
+            return []
+        return _told(ACCOUNT_CONFIDENCE, ("github_username", login), ("avatar_url", f"https://github.com/{login}.png"), ("current_company", u.get("company")), ("location", u.get("location")), ("website_url", u.get("blog")), ("twitter_username", u.get("twitter_username")))
 
 
 SOURCES = {s.name: s for s in (ProfileSource, CodeHostSource)}

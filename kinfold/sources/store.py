@@ -71,3 +71,21 @@ def violations(df: DataFrame, key: list[str], where: str = "true") -> DataFrame:
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON object a row, nulls included."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def to_json_array(df: DataFrame, most: int = 10_000) -> str:
+    """The rows as one JSON array, for results of bounded size; more rows than `most` are an error, not a cut."""
+    rows = [r["value"] for r in to_json_lines(df).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them as lines")
+    return "[" + ",".join(rows) + "]"
+
+
+def to_table(df: DataFrame, most: int = 1000) -> str:
+    """The rows as padded text columns under their names, nulls blank, for results of bounded size."""
+    rows = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them as lines")
+    cells = [df.columns, *[list(r) for r in rows]]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in cells)

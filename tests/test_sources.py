@@ -63,7 +63,7 @@ def test_payloads(spark):
 
 
 def test_profile_sources_offline(spark):
-    page = {"location": "Paris", "job_title": "CEO", "company": "A", "verified_accounts": [{"shortname": "github", "username": "ada"}], "links": [{"url": "https://x.com/a"}, {"url": "https://ada.example"}]}
+    page = {"location": "Paris", "job_title": "CEO", "company": "A", "verified_accounts": [{"shortname": "github", "username": "ada"}, {"service_label": "Twitter", "username": "ada_t"}], "links": [{"url": "https://x.com/a"}, {"url": "https://ada.example"}]}
     calls, waits = [], []
 
     def transport(url, headers):
@@ -73,8 +73,22 @@ def test_profile_sources_offline(spark):
     status, body = profiles.fetch(transport, "u", {}, sleep=waits.append)
     assert status == 200 and waits == [60.0]
     facts = {f: v for f, v, _ in profiles.ProfileSource().facts(" ADA@x.y ", transport)}
-    assert facts == {"location": "Paris", "current_role": "CEO", "current_company": "A", "github_username": "ada", "website_url": "https://ada.example"}
-    assert profiles.CodeHostSource().facts("12+Ada-L@users.noreply.github.com", transport) == [("github_username", "ada-l", 0.9)]
+    assert facts.pop("avatar_url").startswith("https://gravatar.com/avatar/")
+    assert facts == {"location": "Paris", "current_role": "CEO", "current_company": "A", "twitter_username": "ada_t", "website_url": "https://ada.example"}
+    assert profiles.ProfileSource().facts("a@x.y", lambda u, h: (404, {}, b"")) == []
+    user = json.dumps({"company": " Acme ", "location": "", "blog": "https://ada.example", "twitter_username": None}).encode()
+    calls = []
+
+    def code_host(url, headers):
+        calls.append(url)
+        found = json.dumps({"total_count": 1 if "one" in url else 2, "items": [{"login": "solo"}, {"login": "other"}]}).encode()
+        return (200, {}, user if "/users/" in url and "search" not in url else found)
+
+    facts = profiles.CodeHostSource().facts("12+Ada-L@users.noreply.github.com", code_host)
+    assert facts == [("github_username", "ada-l", 0.85), ("avatar_url", "https://github.com/ada-l.png", 0.85), ("current_company", "Acme", 0.85), ("website_url", "https://ada.example", 0.85)]
+    assert profiles.CodeHostSource().facts("one@x.y", code_host) == [] and profiles.CodeHostSource("t").facts("two@x.y", code_host) == []
+    assert profiles.CodeHostSource("t").facts("one@x.y", code_host)[0] == ("github_username", "solo", 0.85)
+    assert profiles.CodeHostSource("t").facts("one@x.y", lambda u, h: (200, {}, b"not json")) == []
     assert [s.name for s in profiles.select_sources(["github", "nope", "gravatar"])] == ["gravatar", "github"]
     rows = profiles.gather(spark.createDataFrame([("c", "a@x.y"), ("d", None)], "contact_id string, email string"), [profiles.CodeHostSource()], transport=lambda u, h: (0, {}, b""), pause=lambda s: None)
     assert rows.collect() == []
@@ -123,3 +137,12 @@ def test_a_plain_export_of_any_size_passes_whole(tmp_path, monkeypatch):
     path.write_text("nothing here\n")
     with pytest.raises(people.MappingError):
         people.unpack_export(str(path), "Connections.csv", "First Name,", str(to))
+
+
+def test_rows_as_text(spark):
+    df = spark.createDataFrame([("a", 1, None), ("bcd", None, "x")], "name string, n int, q string")
+    assert json.loads(store.to_json_array(df)) == [{"name": "a", "n": 1, "q": None}, {"name": "bcd", "n": None, "q": "x"}]
+    assert store.to_table(df).splitlines() == ["name  n  q", "a     1", "bcd      x"]
+    with pytest.raises(ValueError):
+        store.to_table(df, 1)
+    assert store.to_json_array(df.filter("false")) == "[]"
