@@ -23,13 +23,16 @@ def key_text(keys: list[str]) -> Column:
     return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], counts: DataFrame | None = None, share: float = HEAVY_SHARE) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], counts: DataFrame | None = None, share: float = HEAVY_SHARE, rows: int | None = None) -> DataFrame:
     """Left join to a `right` that is unique in the key columns `on`.
 
     Heavy keys of the left side (found from per-key counts (on.., _n), which combine map-side) meet a broadcast of at most 1 / share
-    right rows; the other keys go through a shuffle join. Rows with a null key are kept with nulls. No row is dropped.
+    right rows; the other keys go through a shuffle join. Rows with a null key are kept with nulls. No row is dropped. `rows`, where
+    the caller knows how many left rows there are, saves the pass over few of them.
     """
     keys = [on] if isinstance(on, str) else on
+    if rows is not None and rows < LEAST_ROWS:
+        return left.join(right, keys, "left")
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n")) if counts is None else counts
     heavy = heavy_keys(counts, keys, "_n", share)
     if not heavy:
