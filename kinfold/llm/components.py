@@ -2,7 +2,8 @@
 
 Each round every component selects its smallest outgoing edge and hooks along it, the resulting trees collapse by pointer doubling,
 and edges are relabelled and deduplicated; at least half of the components that still have an edge disappear per round, so the
-number of rounds is logarithmic. Nothing but row counts reaches the driver; lineage is cut by checkpoint() in the shared folder.
+number of rounds is logarithmic. Nothing but counts and the heaviest roots reaches the driver; lineage is cut by tables in the shared
+folder. Roots of very large trees are looked up by a bounded broadcast, so that no task gets all their members.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ def star_edges(rows: DataFrame, row_id: str, key_columns: list[str]) -> DataFram
     return linked.filter("v is not null and v <> u").select("u", "v")
 
 
-def _collapse(parents: DataFrame) -> DataFrame:
-    """(id, parent) with every parent a root, by pointer doubling. parents: a forest whose roots point at themselves. Many ids may
-    share a parent; those partitions are split by the adaptive skew join, as the parent's side has one row an id."""
+def _collapse(parents: DataFrame, n: int) -> DataFrame:
+    """(id, parent) with every parent a root, by pointer doubling. parents: a forest whose roots point at themselves."""
     while True:
         up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        step = parents.join(up, "parent", "left").select("id", F.coalesce("grand", "parent").alias("root"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved"))
+        step = lookup_join(parents, up, "parent", rows=n).select("id", F.coalesce("grand", "parent").alias("root"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved"))
         doubled, seen = cut_counted(step, moved=F.max("moved"))
         parents = doubled.select("id", F.col("root").alias("parent"))
         if not seen["moved"]:
@@ -47,25 +47,26 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     live, seen = cut_counted(edges, n=F.count("*"))
     labels: DataFrame | None = None
+    size = 0
     while seen["n"]:
         # the smallest edge of a component is the one whose ordered pair is smallest
         ends = live.select(F.col("u").alias("id"), F.struct("u", "v").alias("e")).unionByName(live.select(F.col("v").alias("id"), F.struct("u", "v").alias("e")))
-        picks = cut(ends.groupBy("id").agg(F.min("e").alias("e")).select("id", F.when(F.col("id") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("to")))
+        picks, found = cut_counted(ends.groupBy("id").agg(F.min("e").alias("e")).select("id", F.when(F.col("id") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("to")), n=F.count("*"))
         back = picks.select(F.col("id").alias("to"), F.col("to").alias("back"))
-        hooked = picks.join(back, "to", "left").select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("parent"))
-        roots = _collapse(hooked)
+        hooked = lookup_join(picks, back, "to", rows=found["n"]).select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("parent"))
+        roots = _collapse(hooked, found["n"])
         if labels is None:
-            labels = roots.select("id", F.col("parent").alias("label"))
+            labels, size = roots.select("id", F.col("parent").alias("label")), found["n"]
         else:
-            now = labels.join(roots.select(F.col("id").alias("label"), F.col("parent").alias("up")), "label", "left")
+            now = lookup_join(labels, roots.select(F.col("id").alias("label"), F.col("parent").alias("up")), "label", rows=size)
             labels = cut(now.select("id", F.coalesce("up", "label").alias("label")))
-        a = live.join(roots.select(F.col("id").alias("u"), F.col("parent").alias("pu")), "u", "left")
-        b = a.join(roots.select(F.col("id").alias("v"), F.col("parent").alias("pv")), "v", "left")
+        a = lookup_join(live, roots.select(F.col("id").alias("u"), F.col("parent").alias("pu")), "u", rows=seen["n"])
+        b = lookup_join(a, roots.select(F.col("id").alias("v"), F.col("parent").alias("pv")), "v", rows=seen["n"])
         live, seen = cut_counted(b.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).filter("u <> v").distinct(), n=F.count("*"))
     if labels is None:
         return live.select(F.col("u").alias("id"), F.col("v").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("id").alias("least"))
-    return lookup_join(labels, smallest, "label").select("id", F.col("least").alias("label"))
+    return lookup_join(labels, smallest, "label", rows=size).select("id", F.col("least").alias("label"))
 
 
 def key_groups(rows: DataFrame, row_id: str, key_columns: list[str]) -> DataFrame:

@@ -133,7 +133,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, sentences, level) of every document."""
+    """(doc_id, lang, sentences, level, unfamiliar, sentence_words) of every document."""
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
 
 

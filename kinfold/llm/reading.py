@@ -11,7 +11,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
-from math import log
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -82,12 +82,12 @@ class Languages:
         return self.names[max(range(len(total)), key=total.__getitem__)] if seen else None
 
 
-def features(found: list[tuple[list[str], list[str]]], familiar: set[str]) -> tuple[int, float, float, float]:
-    """(sentences, unfamiliar letters a word, familiar letters a word, log of words a sentence) of sentences as (words, lower-case
-    words). Capitalised words inside a sentence are names, known to a reader, unless the language writes nouns so; they count for the
+def features(found: list[tuple[list[str], list[str]]], familiar: set[str]) -> tuple[int, float, float, float, float]:
+    """(sentences, unfamiliar letters a word, familiar letters a word, log of words a sentence, share of unfamiliar words) of sentences
+    as (words, lower-case words). Capitalised words inside a sentence are names, known to a reader, unless the language writes nouns so; they count for the
     sentence length only."""
     nouns = "\0nouns" in familiar
-    words = counted = known = strange = 0
+    words = counted = known = strange = odd = 0
     for written, low in found:
         words += len(low)
         first = True
@@ -97,9 +97,10 @@ def features(found: list[tuple[list[str], list[str]]], familiar: set[str]) -> tu
                 known += len(w)
             elif first or nouns or not w[0].isupper():
                 counted += 1
+                odd += 1
                 strange += len(w)
             first = False
-    return len(found), strange / max(counted, 1), known / max(counted, 1), log(1 + words / max(len(found), 1))
+    return len(found), strange / max(counted, 1), known / max(counted, 1), log(1 + words / max(len(found), 1)), odd / max(counted, 1)
 
 
 def cased(text: str) -> list[tuple[list[str], list[str]]]:
@@ -114,14 +115,15 @@ class Model:
     def __init__(self, languages: Languages, familiar: dict[str, set[str]], constants: dict[str, np.ndarray]):
         self.languages, self.familiar, self.constants = languages, familiar, constants
 
-    def level(self, text: str) -> tuple[str | None, int, float | None]:
-        """(language of the prose, its sentences, level from 1 to 5); no level without a sentence or a language."""
+    def level(self, text: str) -> tuple[str | None, int, float | None, float | None, float | None]:
+        """(language of the prose, its sentences, level from 1 to 5, share of unfamiliar words, words a sentence); no figures without a
+        sentence or a language."""
         found = cased(text)
         lang = self.languages.of(Counter(chain.from_iterable(low for _, low in found)))
-        n, *x = features(found, self.familiar.get(lang, set()))
+        n, *x, share = features(found, self.familiar.get(lang, set()))
         if not n or lang not in self.constants:
-            return lang, n, None
-        return lang, n, float(min(5.0, max(1.0, np.dot(self.constants[lang], [1.0, *x]))))
+            return lang, n, None, None, None
+        return lang, n, float(min(5.0, max(1.0, np.dot(self.constants[lang], [1.0, *x])))), share, exp(x[2]) - 1
 
 
 def _count(languages: Languages):
@@ -161,26 +163,26 @@ def familiar_words(docs: DataFrame, text: str, languages: Languages, share: floa
 
 
 def fit(docs: DataFrame, samples: DataFrame, text: str = "text", share: float = SHARE) -> Model:
-    rows = [(r["lang"], int(r["grade"]), r["text"]) for r in samples.filter("text is not null and grade is not null and lang is not null").limit(MOST_SAMPLES).collect()]
+    rows = [(r["lang"], int(r["grade"]), r["text"]) for r in samples.filter("text is not null and grade is not null and lang is not null").orderBy(F.xxhash64("lang", "grade", "text"), "text").limit(MOST_SAMPLES).collect()]
     languages = Languages([(lang, t) for lang, _, t in rows])
     familiar = familiar_words(docs, text, languages, share)
     constants = {}
     for lang in languages.names:
-        x = np.array([[1.0, *features(cased(t), familiar.get(lang, set()))[1:]] for l, _, t in rows if l == lang])
+        x = np.array([[1.0, *features(cased(t), familiar.get(lang, set()))[1:4]] for l, _, t in rows if l == lang])
         y = np.array([g for l, g, _ in rows if l == lang], dtype=float)
         constants[lang] = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ y)
     return Model(languages, familiar, constants)
 
 
 def reading_levels(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """(doc_id, lang, sentences, level) of every row. Null, empty and wordless texts have no level; the given language is not used,
+    """(doc_id, lang, sentences, level, unfamiliar, sentence_words) of every row; the last two are the parts of the plain formula. Null, empty and wordless texts have no level; the given language is not used,
     as it is often wrong or missing. Repeated rows are kept; empty samples give no level to any row."""
     model = fit(docs, samples, text, share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, *(model.level(t) if isinstance(t, str) else (None, 0, None))) for d, t in zip(pdf["doc_id"], pdf["text"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "sentences", "level"])
+            rows = [(d, *(model.level(t) if isinstance(t, str) else (None, 0, None, None, None))) for d, t in zip(pdf["doc_id"], pdf["text"])]
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "sentences", "level", "unfamiliar", "sentence_words"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, lang string, sentences int, level double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, lang string, sentences int, level double, unfamiliar double, sentence_words double")
