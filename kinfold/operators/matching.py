@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import keys as K
 from kinfold.functions import normalize as N
+from kinfold.operators import overlap
 from kinfold.operators.components import connected_components
 from kinfold.operators.skew import lookup_join
 from kinfold.session import cut
@@ -49,31 +50,18 @@ def trigram_table(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct().withColumn("grams", F.expr(N.trigrams("name"))).filter("size(grams) > 0")
 
 
-def _prefixes(grams: DataFrame, order: DataFrame, least: float, name: str) -> DataFrame:
-    """(gram, name, name_at, name_n, name_g) for the rarest grams of each name: two sets with a Jaccard similarity of `least` share one
-    of them. Grams are numbers in order of frequency, the rarest first; name_g holds all of a name in that order."""
-    numbered = grams.select("name", F.explode("grams").alias("gram")).join(F.broadcast(order), "gram").groupBy("name").agg(F.array_sort(F.collect_list("rank")).alias("g")).withColumn("n", F.size("g"))
-    keep = F.expr(f"slice(g, 1, cast(n - ceil({least} * n) + 1 as int))")
-    return numbered.select(F.posexplode(keep).alias(name + "_at", "gram"), F.col("name").alias(name), F.col("n").alias(name + "_n"), F.col("g").alias(name + "_g"))
-
-
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, least: float = N.REVIEW_BAND) -> DataFrame:
     """(a, b, score) of distinct texts whose trigram sets have a Jaccard similarity of at least `least`; within one table a < b.
 
-    Prefix filtering: only each text's rarest trigrams open candidates, which loses no pair, so common trigrams need no cap. Sizes and
-    the places of the shared trigram bound the overlap before sets are compared, and a pair counts at its first shared trigram only,
-    so nothing has to be deduplicated. Trigrams over letters, digits and blank are at most 37^3, so their order is broadcast.
+    Prefix filtering: only each text's rarest trigrams open candidates, which loses no pair, so common trigrams need no cap (see
+    `overlap`). Trigrams over letters, digits and blank are at most 37^3, so their order fits the driver.
     left, right: (name, grams)."""
-    every = left if right is None else left.unionByName(right)
-    counted = every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    order = cut(counted.select("gram", F.row_number().over(Window.orderBy("df", "gram")).alias("rank")))
-    a, b = _prefixes(left, order, least, "a"), _prefixes(left if right is None else right, order, least, "b")
-    need = F.expr(f"ceil({least} / (1 + {least}) * (a_n + b_n) - 1e-9)")
-    reach = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
-    met = a.join(b, "gram").filter("a < b" if right is None else "true").filter((F.least("a_n", "b_n") >= need) & (reach >= need))
-    shared = met.select("a", "b", "gram", "a_n", "b_n", F.array_intersect("a_g", "b_g").alias("x")).filter("x[0] = gram")
-    inter = F.size("x")
-    return shared.select("a", "b", (inter / (F.col("a_n") + F.col("b_n") - inter)).alias("score")).filter(F.col("score") >= least)
+    sides = [x.select("name", "grams", F.lit(i).alias("side")) for i, x in enumerate((left, right)) if x is not None]
+    every = cut(sides[0] if right is None else sides[0].unionByName(sides[1]))
+    order = [r[0] for r in every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).orderBy("df", "gram").collect()]
+    listed = every.mapInArrow(overlap.filed(order, least), overlap.FILED).repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram")
+    found = listed.mapInArrow(overlap.paired(least, right is None), overlap.PAIRED)
+    return found if right is not None else found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def best_by_name(staging: DataFrame, contacts: DataFrame) -> DataFrame:
