@@ -49,3 +49,14 @@ def test_first_names_open_no_lists_of_all_pairs(monkeypatch):
     plain, seen[:] = sum(seen), []
     monkeypatch.setattr(overlap, "MANY", 10_000)
     assert run(names) == whole and sum(seen) < plain
+
+
+def test_two_sides_open_no_lists_of_all_pairs(monkeypatch):
+    seen = []
+    compared = overlap.compared
+    monkeypatch.setattr(overlap, "compared", lambda a, b, same: seen.append(len(a.n) * len(b.n)) or compared(a, b, same))
+    left, right = (sorted({"Frederick " + "".join(RANDOM.sample(SYLLABLES, 4)) for _ in range(400)}) for _ in range(2))
+    whole = run(left, right)
+    plain, seen[:] = sum(seen), []
+    monkeypatch.setattr(overlap, "MANY", 10_000)
+    assert run(left, right) == whole and sum(seen) < plain
