@@ -109,7 +109,8 @@ def clusters(staging: DataFrame, exact: DataFrame | None = None, fuzzy: DataFram
     stars = keyed.unionByName(named)
     for t in targets:
         stars = stars.unionByName(t)
-    hubs = stars.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("_n"))
+    stars = cut(stars)
+    hubs = cut(stars.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("_n")))
     edges = lookup_join(stars, hubs.drop("_n"), "key", hubs.select("key", "_n")).select(F.col("id").alias("u"), F.col("hub").alias("v"))
     pairs = similar_pairs(trigram_table(staging, "full_name"))
     first = hubs.filter("key like 'name:%'").select(F.expr("substring(key, 6)").alias("name"), "hub")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from kinfold.operators import overlap
-from kinfold.operators.matching import similarity, trigram_set
+from kinfold.operators.matching import clusters, similarity, trigram_set
 
 RANDOM = random.Random(5)
 SYLLABLES = ["il", "vodd", "eira", "gre", "ald", "nor", "mer", "ton", "pal", "sze", "ova", "lind"]
@@ -60,3 +60,17 @@ def test_two_sides_open_no_lists_of_all_pairs(monkeypatch):
     plain, seen[:] = sum(seen), []
     monkeypatch.setattr(overlap, "MANY", 10_000)
     assert run(left, right) == whole and sum(seen) < plain
+
+
+def test_clusters_read_their_targets_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    staging = spark.createDataFrame([(i, n, None, None, None, None) for i, n in (("a", "Ann Lee"), ("b", "Bo Ray"))], "id string, full_name string, email string, phone string, linkedin_url string, handle string")
+    fuzzy = spark.createDataFrame([("Ann Lee", "c", 0.95), ("Bo Ray", "c", 0.95)], "name string, contact_id string, score double").mapInPandas(counted, "name string, contact_id string, score double")
+    assert {(r["id"], r["cluster_id"]) for r in clusters(staging, None, fuzzy).collect()} == {("a", "a"), ("b", "a")}
+    assert seen.value == 2
