@@ -46,8 +46,9 @@ def resolve_exact(hits: DataFrame) -> DataFrame:
 
 
 def trigram_table(df: DataFrame, column: str) -> DataFrame:
-    """(name, grams) of the distinct texts that have a trigram."""
-    return df.filter(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct().withColumn("grams", F.expr(N.trigrams("name"))).filter("size(grams) > 0")
+    """(name, grams) of the distinct texts. Those without a trigram stay: a filter on it would be pushed below the distinct and make the
+    trigrams of every row once more; `overlap` files nothing for them."""
+    return df.filter(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct().withColumn("grams", F.expr(N.trigrams("name")))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, least: float = N.REVIEW_BAND) -> DataFrame:

@@ -37,6 +37,15 @@ def test_components_equal_union_find(spark):
     assert connected_components(spark.createDataFrame([], "u string, v string")).count() == 0
 
 
+def test_trigrams_are_made_once_per_distinct_text(spark):
+    """No filter on the trigrams of every row stands below the distinct, and texts without any are in no pair."""
+    df = spark.createDataFrame([("Ada Lovelace",), ("ada  lovelace",), ("...",), ("!!",), (None,)], "full_name string")
+    table = matching.trigram_table(df, "full_name")
+    below = table._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].split("\n", 1)[1]
+    assert "transform" not in below and "sequence" not in below
+    assert [(r["a"], r["b"], r["score"]) for r in matching.similar_pairs(table).collect()] == [("Ada Lovelace", "ada  lovelace", 1.0)]
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = random.Random(5)
     names = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["Łukasz Ørsted", "lukasz orsted", "", " ", "Zoë", "zoe", "x" * 5000]
